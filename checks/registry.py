@@ -376,9 +376,9 @@ def deletion_detect(spark, sf):
 
 @query
 def incremental_index(spark, sf):
-    """Sources of English text changed: their chunks are rebuilt in upper case."""
+    """Sources of English text changed: their chunks are rebuilt without blanks."""
     src = D.docs_src(spark, sf)
-    changed = src.filter("language = 'en'").withColumn("content", F.upper("content"))
+    changed = src.filter("language = 'en'").withColumn("content", F.replace("content", F.lit(" "), F.lit("_")))
     old, new = I.nonempty(I.chunk_text(src)), I.nonempty(I.chunk_text(changed))
     return N.refresh_index(old, new, changed).select("id", "parent_id", F.sha2("chunk", 256).alias("chunk_hash"))
 
@@ -519,13 +519,23 @@ def knn_exact(spark, sf):
     return V.knn(_query_vectors(spark, sf), index_of(spark, sf).chunks)
 
 
-@query
-def knn_approx(spark, sf):
-    """All vectors against 20 cells, each asking for its own 10 neighbours."""
+def _cells(spark, sf, probes):
     vectors = D.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     centres = V.train_cells(vectors, 20)
-    return V.knn_approx(vectors.drop("id"), V.assign_cells(vectors, centres), centres, probes=6, k=10)
+    return V.knn_approx(vectors.drop("id"), V.assign_cells(vectors, centres), centres, probes, k=10)
+
+
+@query
+def knn_approx(spark, sf):
+    """Every vector asks 6 of 20 cells for its 10 neighbours."""
+    return _cells(spark, sf, 6)
+
+
+@query
+def knn_all_cells(spark, sf):
+    """With all cells probed the answer is exact."""
+    return _cells(spark, sf, 20)
 
 
 @query

@@ -101,12 +101,15 @@ def hybrid(text: DataFrame, neighbours: DataFrame, k0: int = RRF_K) -> DataFrame
 
 def cover(text: Column, terms: Column) -> Column:
     """Share of the query's idf weight whose terms stand in the text."""
-    words = tokens(text)
     def weight(of: Column) -> Column:
         return F.aggregate(of, F.lit(0.0), lambda acc, t: acc + t.idf)
-    total = weight(terms)
-    found = weight(F.filter(terms, lambda t: F.array_contains(words, t.term)))
-    return F.when(total > 0, found / total).otherwise(F.lit(0.0))
+
+    def share(words: Column) -> Column:
+        found = weight(F.filter(terms, lambda t: F.array_contains(words, t.term)))
+        return F.coalesce(F.try_divide(found, weight(terms)), F.lit(0.0))
+
+    # The one-element array binds the tokens, so a text is tokenised once.
+    return F.element_at(F.transform(F.array(F.array_distinct(tokens(text))), share), 1)
 
 
 def term_lists(weights: DataFrame) -> DataFrame:
