@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import urls as U
 from siteloom.operators.extract import page_title, visible_text
+from siteloom.scale import spread
 
 EPOCH = 1704067200  # 2024-01-01T00:00:00Z
 DAY = 86400
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def minutes(column: str) -> Column:

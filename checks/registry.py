@@ -21,7 +21,7 @@ from siteloom.operators import retrieve as R
 from siteloom.operators import shape as S
 from siteloom.plans import index_build as B
 from siteloom.plans import search as P
-from siteloom.scale import checkpointed, scratch_path, top_k
+from siteloom.scale import checkpointed, scratch_path
 from siteloom.sources import landed as L
 from siteloom.sources import sinks as K
 from siteloom.sources.index_store import save_index
@@ -30,7 +30,11 @@ from siteloom.streaming import streams as W
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ASSET_HOSTS = ["example.com", "example.net", "example.org"]
-NOW = F.timestamp_seconds(F.lit(D.EPOCH + 120 * D.DAY))
+
+
+def now():
+    return F.timestamp_seconds(F.lit(D.EPOCH + 120 * D.DAY))
+
 
 
 def query(fn: Query) -> Query:
@@ -355,12 +359,12 @@ def _stored(spark, sf):
 
 @query
 def snapshot_expiry(spark, sf):
-    return N.expire(_stored(spark, sf), NOW).select("container", "name", "modified_at")
+    return N.expire(_stored(spark, sf), now()).select("container", "name", "modified_at")
 
 
 @query
 def soft_delete(spark, sf):
-    return N.purge(_stored(spark, sf), NOW).select("container", "name", "deleted_at", "recoverable")
+    return N.purge(_stored(spark, sf), now()).select("container", "name", "deleted_at", "recoverable")
 
 
 def _tombstones(spark, sf):
@@ -568,7 +572,7 @@ def answers(spark, sf):
 
 @query
 def facet_counts(spark, sf):
-    scores = R.bm25_scores(_asked(spark, sf), index_of(spark, sf))
+    scores = R.bm25_scores(_asked(spark, sf), index_of(spark, sf), facets=True)
     return S.facets(scores)
 
 

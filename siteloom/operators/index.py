@@ -175,14 +175,15 @@ def analyze(chunks: DataFrame) -> DataFrame:
     return _fields(chunks).select("id", "field", F.explode("tokens").alias("term"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id, field, term, tf, dl, language, section, kind).
 
     Chunks are spread by id before they are tokenised, so counting needs no
     further exchange: passages are shuffled once, tokens never. Field length and
     filter columns ride along, which spares a join per query.
     """
-    spread = chunks.select("id", "chunk", "title", "language", "section", "kind").repartition("id")
+    spread = chunks.select("id", "chunk", "title", "language", "section", "kind")
+    spread = spread.repartition(partitions, "id") if partitions else spread.repartition("id")
     rows = _fields(spread).select("id", "language", "section", "kind", "field", "dl",
                                   F.explode("tokens").alias("term"))
     return rows.groupBy("id", "language", "section", "kind", "field", "dl", "term").agg(

@@ -18,7 +18,7 @@ from siteloom.scale import checkpointed, lookup_join
 # Elements dropped whole, tags that end a block, and the control
 # characters that mark block ends, link text and headings until the last step.
 DROPPED = "|".join(
-    [rf"<{t}[\s>].*?</{t}\s*>" for t in ("head", "nav", "footer", "aside", "header")]
+    [rf"<{t}[\s>].*?</{t}\s*>" for t in ("head", "title", "nav", "footer", "aside", "header")]
     + [r"""<div\s[^>]*class\s*=\s*["']?ads?["'\s>].*?</div\s*>"""])
 BLOCK_TAGS = ("html|body|main|article|section|div|p|ul|ol|li|dl|dt|dd|table|thead|tbody|tfoot|tr|"
               "h[1-6]|blockquote|pre|hr|figure|figcaption|form|address")

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.scale import is_small, top_k
+from siteloom.scale import checkpointed, is_small, top_k
 from siteloom.schemas import FILTER_FIELDS
 
 QUERY_BYTES = 32 * 1024 * 1024
@@ -31,31 +31,42 @@ class _Best:
         self.k = k
         self.qids = queries["qid"].to_numpy()
         self.matrix = _unit(np.stack(queries["vector"].to_numpy()).astype(np.float64))
-        self.filters = {f: queries[f].to_numpy() for f in FILTER_FIELDS if f in queries}
-        self.cells = [frozenset(c) for c in queries["cells"]] if "cells" in queries else None
+        wanted = [f for f in FILTER_FIELDS if f in queries]
+        self.filters = [tuple((f, v) for f, v in zip(wanted, row) if v is not None)
+                        for row in zip(*(queries[f] for f in wanted))] or [()] * len(queries)
+        self.cells = [list(c) for c in queries["cells"]] if "cells" in queries else None
         self.best = [(np.empty(0), np.empty(0, dtype=object)) for _ in self.qids]
 
+    def _passing(self, columns: dict[str, np.ndarray], usable: np.ndarray) -> dict[tuple, np.ndarray]:
+        """Row mask of every distinct filter."""
+        masks = {}
+        for wanted in set(self.filters):
+            mask = usable.copy()
+            for field, value in wanted:
+                mask &= columns[field] == value
+            masks[wanted] = mask
+        return masks
+
     def add(self, ids: np.ndarray, vectors: np.ndarray, columns: dict[str, np.ndarray]) -> None:
-        norms = np.sqrt((vectors ** 2).sum(axis=1))
-        scores = np.round(_unit(vectors) @ self.matrix.T, 6)
-        for q in range(len(self.qids)):
-            fits = norms > 0
-            for field, wanted in self.filters.items():
-                if wanted[q] is not None:
-                    fits &= columns[field] == wanted[q]
+        usable = (vectors != 0).any(axis=1)
+        scores = np.round(self.matrix @ _unit(vectors).T, 6)
+        passing = self._passing(columns, usable)
+        for q, wanted in enumerate(self.filters):
+            fits = passing[wanted]
             if self.cells is not None:
-                fits &= np.isin(columns["cell"], list(self.cells[q]))
+                fits = fits & np.isin(columns["cell"], self.cells[q])
             kept_scores, kept_ids = self.best[q]
             if len(kept_scores) == self.k:
-                fits &= scores[:, q] >= kept_scores[-1]
-            if not fits.any():
-                continue
-            if fits.sum() > self.k:
-                fits &= scores[:, q] >= np.partition(scores[fits, q], -self.k)[-self.k]
-            merged = np.concatenate([kept_scores, scores[fits, q]])
-            names = np.concatenate([kept_ids, ids[fits]])
-            order = np.lexsort((names.astype(str), -merged))[:self.k]
-            self.best[q] = merged[order], names[order]
+                fits = fits & (scores[q] >= kept_scores[-1])
+            rows = np.flatnonzero(fits)
+            if len(rows) > self.k:
+                found = scores[q, rows]
+                rows = rows[found >= np.partition(found, -self.k)[-self.k]]
+            if len(rows):
+                merged = np.concatenate([kept_scores, scores[q, rows]])
+                names = np.concatenate([kept_ids, ids[rows]])
+                order = np.lexsort((names.astype(str), -merged))[:self.k]
+                self.best[q] = merged[order], names[order]
 
     def rows(self) -> pd.DataFrame:
         return pd.DataFrame({
@@ -84,11 +95,11 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = 50,
     move. A larger one is cut into blocks and co-grouped with blocks of chunks.
     Scores are rounded to 6 places before ranking; ties go to the lower id.
     """
-    queries = queries.filter("vector is not null").filter(F.exists("vector", lambda x: x != 0))
+    queries = checkpointed(queries.filter("vector is not null").filter(F.exists("vector", lambda x: x != 0)))
     rows = chunks.select(*_columns(chunks, queries)).filter("vector is not null")
     run = _knn_sent if is_small(queries, max_query_bytes) else _knn_blocks
     found = run(queries, rows, k)
-    return top_k(found, ["qid"], [F.desc("score"), F.asc("id")], k, "id")
+    return top_k(found, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
 def _knn_sent(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import sentences, tokens
@@ -43,53 +43,47 @@ def weighted_terms(queries: DataFrame, index: SearchIndex) -> DataFrame:
                     (idf * F.col("qtf")).alias("weight"), *[f"_{f}" for f in FILTER_FIELDS]))
 
 
-def bm25_scores(queries: DataFrame, index: SearchIndex,
-                weights: DataFrame | None = None) -> DataFrame:
-    """(qid, id, language, section, kind, score) of every matching chunk that
-    passes the query's filters, summed over the searchable fields."""
+def bm25_scores(queries: DataFrame, index: SearchIndex, weights: DataFrame | None = None,
+                facets: bool = False) -> DataFrame:
+    """(qid, id, score) of every matching chunk that passes the query's
+    filters, summed over the searchable fields; with the facet fields on
+    request."""
     weights = checkpointed(weighted_terms(queries, index)) if weights is None else weights
     hits = lookup_join(index.postings, weights, ["field", "term"], "inner", "id")
     for f in FILTER_FIELDS:
         hits = hits.filter(F.col(f"_{f}").isNull() | (F.col(f) == F.col(f"_{f}")))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("qid", "id", *FILTER_FIELDS).agg(F.round(F.sum(part), 6).alias("score"))
+    return hits.groupBy("qid", "id", *(FILTER_FIELDS if facets else ())).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25(queries: DataFrame, index: SearchIndex, k: int = 50) -> DataFrame:
     """(qid, id, score, rank): the best k chunks per query."""
-    scores = bm25_scores(queries, index).select("qid", "id", "score")
-    return top_k(scores, ["qid"], ranked_by(), k, "id")
+    return top_k(bm25_scores(queries, index), ["qid"], ranked_by(), k)
 
 
 def text_ranks(scores: DataFrame, neighbours: DataFrame, depth: int) -> DataFrame:
     """(qid, id, text_rank) for the first ``depth`` text matches and, however
     far down they stand, for all neighbours that match.
 
-    The rank of a neighbour further down is one plus the number of matches
-    ahead of it. Those are counted per gap between the neighbours with map-side
-    combine; the full list of a query is never sorted in one place.
+    The full list of a query is never sorted in one place: matches are counted
+    per narrow score step with map-side combine, and a neighbour's rank is the
+    number in the steps above its own plus those ahead of it within the step.
     """
-    scores = scores.select("qid", "id", "score")
-    head = top_k(scores, ["qid"], ranked_by(), depth, "id", "text_rank").select("qid", "id", "text_rank")
-    below = checkpointed(lookup_join(
-        scores, checkpointed(neighbours.select("qid", "id")), ["qid", "id"], "left_semi", "id")
-        .join(head, ["qid", "id"], "left_anti"))
-    if below.isEmpty():
-        return head
-    key = F.struct((-F.col("score")).alias("s"), "id")
-    marks = below.groupBy("qid").agg(F.array_sort(F.collect_list(key)).alias("_marks"))
-    placed = lookup_join(scores, marks, ["qid"], "inner", "id").select(
-        "qid", F.size(F.filter("_marks", lambda m: m <= key)).alias("gap"))
-    gaps = placed.groupBy("qid", "gap").agg(F.count("*").alias("n"))
-    ahead = gaps.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("gap", "n"))).alias("_gaps"))
-    # Gap g holds the g-th mark itself and all that follows it up to the next.
-    counted = marks.join(ahead, "qid").select("qid", "_gaps", F.posexplode("_marks").alias("g", "m"))
-    before = F.aggregate(
-        F.sequence(F.lit(0), F.col("g")), F.lit(0).cast("bigint"),
-        lambda acc, g: acc + F.coalesce(F.try_element_at("_gaps", g), F.lit(0)))
-    return head.unionByName(counted.select(
-        "qid", F.col("m.id").alias("id"), (before + 1).cast("int").alias("text_rank")))
+    steps = scores.select("qid", "id", "score", F.floor(F.col("score") * 100).alias("step"))
+    head = top_k(steps.drop("step"), ["qid"], ranked_by(), depth, "text_rank").drop("score")
+    marks = checkpointed(lookup_join(steps, neighbours.select("qid", "id"), ["qid", "id"], "left_semi", "id"))
+    falling = Window.partitionBy("qid").orderBy(F.desc("step"))
+    above = steps.groupBy("qid", "step").agg(F.count("*").alias("n")).withColumn(
+        "above", F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    mark = marks.select("qid", "step", F.col("id").alias("mark"), F.col("score").alias("mark_score"))
+    ahead = (F.col("score") > F.col("mark_score")) | (
+        (F.col("score") == F.col("mark_score")) & (F.col("id") < F.col("mark")))
+    inside = lookup_join(steps, mark, ["qid", "step"], "inner", "id").filter(ahead | (F.col("id") == F.col("mark"))) \
+        .groupBy("qid", "step", F.col("mark").alias("id")).agg(F.count("*").alias("inside"))
+    deep = inside.join(above, ["qid", "step"]).select(
+        "qid", "id", (F.col("above") + F.col("inside")).cast("int").alias("text_rank"))
+    return head.unionByName(deep.filter(F.col("text_rank") > depth))
 
 
 def hybrid(text: DataFrame, neighbours: DataFrame, k0: int = RRF_K) -> DataFrame:
@@ -154,6 +148,6 @@ def answers(captioned: DataFrame, min_score: float = 0.5, n: int = 1) -> DataFra
     """(qid, text, score): the best extracts of a query; empty or weak ones are
     left out."""
     good = captioned.filter((F.col("caption") != "") & (F.col("caption_score") >= min_score))
-    best = top_k(good, ["qid"], [F.desc("caption_score"), F.asc("id")], n, "id", "answer_rank")
+    best = top_k(good, ["qid"], [F.desc("caption_score"), F.asc("id")], n, "answer_rank")
     return best.select("qid", "answer_rank", F.col("caption").alias("text"),
                        F.col("caption_score").alias("score"))

@@ -31,7 +31,7 @@ def facets(candidates: DataFrame, n: int = FACET_SIZE,
     values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
     counted = candidates.select("qid", "n", F.inline(values)).filter("value is not null") \
         .groupBy("qid", "field", "value").agg(F.sum("n").alias("count"))
-    top = top_k(counted, ["qid", "field"], [F.desc("count"), F.asc("value")], n, "value")
+    top = top_k(counted, ["qid", "field"], [F.desc("count"), F.asc("value")], n)
     return top.select("qid", "field", "value", "count")
 
 

@@ -40,10 +40,12 @@ def prepare(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def text_and_neighbours(asked: DataFrame, index: SearchIndex, k: int = NEIGHBOURS,
-                        fn: Embedder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(text scores, neighbours, weighted terms) of the non-blank queries."""
+                        fn: Embedder | None = None,
+                        facets: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(text scores, neighbours, weighted terms) of the non-blank queries. The
+    scores are kept: ranks, neighbour ranks and facets all read them."""
     weights = checkpointed(R.weighted_terms(asked, index))
-    scores = R.bm25_scores(asked, index, weights)
+    scores = R.bm25_scores(asked, index, weights, facets).persist()
     vectors = with_vectors(asked.select("qid", "q", *FILTER_FIELDS), "q", fn)
     return scores, checkpointed(V.knn(vectors, index.chunks, k)), weights
 
@@ -51,7 +53,7 @@ def text_and_neighbours(asked: DataFrame, index: SearchIndex, k: int = NEIGHBOUR
 def fused(scores: DataFrame, neighbours: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(qid, id, score, rank) in fused order, as deep as any page can reach."""
     both = R.hybrid(R.text_ranks(scores, neighbours, depth), neighbours)
-    return top_k(both, ["qid"], R.ranked_by(), depth, "id")
+    return top_k(both, ["qid"], R.ranked_by(), depth)
 
 
 def _filter_key(columns: list[Column]) -> Column:
@@ -72,7 +74,7 @@ def match_all(blank: DataFrame, index: SearchIndex, depth: int = DEPTH) -> tuple
     rows = index.chunks.select("id", *FILTER_FIELDS, F.explode(F.array_distinct(possible)).alias("fkey"))
     passing = lookup_join(rows, keys, ["fkey"], "left_semi", "id")
     counts = passing.groupBy("fkey", *FILTER_FIELDS).agg(F.count("*").alias("n"))
-    head = top_k(passing.select("fkey", "id"), ["fkey"], [F.asc("id")], depth, "id")
+    head = top_k(passing.select("fkey", "id"), ["fkey"], [F.asc("id")], depth)
     ranked = keyed.join(head, "fkey").select("qid", "id", F.lit(1.0).alias("score"), "rank")
     return ranked, keyed.join(counts, "fkey").select("qid", *FILTER_FIELDS, "n")
 
@@ -102,7 +104,7 @@ def rerank_order(ranked: DataFrame, terms: DataFrame, index: SearchIndex) -> Dat
     the reranked head first, by its new score, then the rest as fused."""
     head = ranked.filter(F.col("rank") <= R.RERANK_DEPTH)
     scored = R.rerank(with_chunks(head, index), terms)
-    scored = checkpointed(top_k(scored, ["qid"], R.ranked_by("reranker"), R.RERANK_DEPTH, "id", "rn")
+    scored = checkpointed(top_k(scored, ["qid"], R.ranked_by("reranker"), R.RERANK_DEPTH, "rn")
                           .select(*_PAGE, "reranker", "caption", "caption_score"))
     rest = ranked.filter(F.col("rank") > R.RERANK_DEPTH).withColumn("rn", F.col("rank"))
     return scored.unionByName(rest.select(*_PAGE), allowMissingColumns=True)
@@ -113,8 +115,7 @@ def search(queries: DataFrame, index: SearchIndex, fn: Embedder | None = None) -
     accepted, rejected = prepare(queries)
     accepted = checkpointed(accepted)
     asked, blank = accepted.filter("q <> ''"), accepted.filter("q = ''")
-    scores, neighbours, weights = text_and_neighbours(asked, index, fn=fn)
-    scores = scores.persist()  # read by the ranks, the neighbour ranks and the facets
+    scores, neighbours, weights = text_and_neighbours(asked, index, fn=fn, facets=True)
     ranked = rerank_order(checkpointed(fused(scores, neighbours)), R.term_lists(weights), index)
     everything, blank_counts = match_all(blank, index)
     listed = ranked.unionByName(everything.withColumn("rn", F.col("rank")).select(*_PAGE),

@@ -39,6 +39,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a file scan over all cores when it has fewer files than
+    that (a file of one row group is read by one task, however it is split); a
+    table of many files is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
+
+
 def byte_size(df: DataFrame) -> int:
     """Serialised size of a DataFrame, summed on the executors."""
     measured = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
@@ -66,17 +74,18 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spre
     return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, spread: str,
-          rank: str = "rank", salts: int = SALTS) -> DataFrame:
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
+          salts: int = SALTS) -> DataFrame:
     """Exact first ``k`` rows of every key, ranked from 1.
 
-    A key is first ranked in ``salts`` parts, so one key may hold most of the
-    rows; the last sort of a key sees ``salts * k`` rows at most.
+    Every task keeps its own first ``k`` per key before anything is shuffled;
+    those are merged in ``salts`` groups of tasks and then once more, so the
+    last sort of a key sees ``salts * k`` rows, however many tasks there were.
     """
-    part = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts))
-    first = Window.partitionBy(*keys, "_part").orderBy(*order)
+    group = F.pmod(F.spark_partition_id(), F.lit(salts))
+    first = Window.partitionBy(*keys, "_group").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("_part", part)
+    return (df.withColumn("_group", group)
             .withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= k)
             .withColumn(rank, F.row_number().over(last)).filter(F.col(rank) <= k)
-            .drop("_part"))
+            .drop("_group"))

@@ -21,12 +21,12 @@ def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> I.Se
     split = chunks.repartition("parent_id", (chunks["ord"] / 512).cast("int"))
     split.sortWithinPartitions("parent_id", "ord").write.mode("overwrite").parquet(f"{path}/chunks")
     stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
-    (I.postings(stored).repartition(buckets, "id").write.mode("overwrite").format("parquet")
-     .bucketBy(buckets, "id").sortBy("field", "term")
+    (I.postings(stored, buckets).write.mode("overwrite").format("parquet").bucketBy(buckets, "id")
      .option("path", f"{path}/postings").saveAsTable(_table(path)))
     posted = spark.table(_table(path))
+    lengths = posted.select("id", "field", "dl").distinct()
     I.term_df(posted).write.mode("overwrite").parquet(f"{path}/term_df")
-    I.corpus_stats(I.doc_len(stored)).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    I.corpus_stats(lengths).write.mode("overwrite").parquet(f"{path}/corpus_stats")
     return load_index(spark, path, buckets)
 
 
@@ -34,7 +34,7 @@ def load_index(spark: SparkSession, path: str, buckets: int) -> I.SearchIndex:
     """Read a written index, from any session."""
     if not spark.catalog.tableExists(_table(path)):
         spark.sql(f"CREATE TABLE {_table(path)} ({_POSTINGS_DDL}) USING parquet CLUSTERED BY (id) "
-                  f"SORTED BY (field, term) INTO {int(buckets)} BUCKETS LOCATION '{path}/postings'")
+                  f"INTO {int(buckets)} BUCKETS LOCATION '{path}/postings'")
     return I.SearchIndex(
         chunks=spark.read.parquet(f"{path}/chunks"),
         postings=spark.table(_table(path)),
