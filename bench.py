@@ -1,5 +1,6 @@
 """Headline queries at one scale: median of three runs after a warm-up, as one
-JSON line. The search index is built once and timed as its own entry."""
+JSON line. The search index is built before, for all of them; building it again is timed
+as its own entry."""
 
 from __future__ import annotations
 
@@ -39,7 +40,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {"index_build": timed(lambda: registry.index_of(spark, sf_dir))}
+    registry.index_of(spark, sf_dir)
+    seconds = {"index_build": timed(lambda: registry.new_index(spark, sf_dir))}
     for name in sys.argv[1:] or HEADLINE:
         def run(fn=registry.QUERIES[name]) -> None:
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -489,12 +489,17 @@ def corpus_stats(spark, sf):
 _INDEXES: dict[tuple[str, str], I.SearchIndex] = {}
 
 
+def new_index(spark: SparkSession, sf: str) -> I.SearchIndex:
+    """The index over documents and pages, built and written."""
+    sources = D.docs_src(spark, sf).unionByName(D.pages_src(spark, sf))
+    return save_index(B.index_rows(sources), scratch_path(spark, "index"))
+
+
 def index_of(spark: SparkSession, sf: str) -> I.SearchIndex:
-    """The index over documents and pages, written once per session."""
+    """That index, written once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
-        sources = D.docs_src(spark, sf).unionByName(D.pages_src(spark, sf))
-        _INDEXES[key] = save_index(B.index_rows(sources), scratch_path(spark, "index"))
+        _INDEXES[key] = new_index(spark, sf)
     return _INDEXES[key]
 
 
@@ -545,13 +550,13 @@ def knn_all_cells(spark, sf):
 @query
 def hybrid_rrf(spark, sf):
     scores, near, _ = P.text_and_neighbours(_asked(spark, sf), index_of(spark, sf))
-    return P.fused(scores, near)
+    return P.fused(R.text_ranks(scores, near, P.DEPTH), near)
 
 
 def _reranked(spark, sf):
     index = index_of(spark, sf)
     scores, near, weights = P.text_and_neighbours(_asked(spark, sf), index)
-    ranked = checkpointed(P.fused(scores, near))
+    ranked = checkpointed(P.fused(R.text_ranks(scores, near, P.DEPTH), near))
     return P.rerank_order(ranked, R.term_lists(weights), index)
 
 

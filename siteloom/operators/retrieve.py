@@ -66,16 +66,20 @@ def text_ranks(scores: DataFrame, neighbours: DataFrame, depth: int) -> DataFram
     """(qid, id, text_rank) for the first ``depth`` text matches and, however
     far down they stand, for all neighbours that match.
 
-    The full list of a query is never sorted in one place: matches are counted
-    per narrow score step with map-side combine, and a neighbour's rank is the
-    number in the steps above its own plus those ahead of it within the step.
+    The full list of a query is never sorted: matches are counted per narrow
+    score step with map-side combine. The counts tell how low a score can still
+    be among the first ``depth``, so only those rows are ranked; and a
+    neighbour's rank is the number in the steps above its own plus those ahead
+    of it within the step.
     """
     steps = scores.select("qid", "id", "score", F.floor(F.col("score") * 100).alias("step"))
-    head = top_k(steps.drop("step"), ["qid"], ranked_by(), depth, "text_rank").drop("score")
-    marks = checkpointed(lookup_join(steps, neighbours.select("qid", "id"), ["qid", "id"], "left_semi", "id"))
     falling = Window.partitionBy("qid").orderBy(F.desc("step"))
-    above = steps.groupBy("qid", "step").agg(F.count("*").alias("n")).withColumn(
-        "above", F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    above = checkpointed(steps.groupBy("qid", "step").agg(F.count("*").alias("n")).withColumn(
+        "above", F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")))
+    lowest = above.filter(F.col("above") < depth).groupBy("qid").agg(F.min("step").alias("lowest"))
+    high = lookup_join(steps, lowest, ["qid"], "inner", "id").filter("step >= lowest")
+    head = top_k(high.select("qid", "id", "score"), ["qid"], ranked_by(), depth, "text_rank").drop("score")
+    marks = checkpointed(lookup_join(steps, neighbours.select("qid", "id"), ["qid", "id"], "left_semi", "id"))
     mark = marks.select("qid", "step", F.col("id").alias("mark"), F.col("score").alias("mark_score"))
     ahead = (F.col("score") > F.col("mark_score")) | (
         (F.col("score") == F.col("mark_score")) & (F.col("id") < F.col("mark")))

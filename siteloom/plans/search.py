@@ -13,7 +13,7 @@ from siteloom.operators import retrieve as R
 from siteloom.operators import shape as S
 from siteloom.operators.index import SearchIndex
 from siteloom.plans.index_build import Embedder, with_vectors
-from siteloom.scale import checkpointed, lookup_join, top_k
+from siteloom.scale import checkpointed, lookup_join, top_k, written
 from siteloom.schemas import FILTER_FIELDS
 
 NEIGHBOURS = 50
@@ -43,17 +43,16 @@ def text_and_neighbours(asked: DataFrame, index: SearchIndex, k: int = NEIGHBOUR
                         fn: Embedder | None = None,
                         facets: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(text scores, neighbours, weighted terms) of the non-blank queries. The
-    scores are kept: ranks, neighbour ranks and facets all read them."""
+    scores are written: ranks, neighbour ranks and facets all read them."""
     weights = checkpointed(R.weighted_terms(asked, index))
-    scores = R.bm25_scores(asked, index, weights, facets).persist()
+    scores = written(R.bm25_scores(asked, index, weights, facets), "scores")
     vectors = with_vectors(asked.select("qid", "q", *FILTER_FIELDS), "q", fn)
     return scores, checkpointed(V.knn(vectors, index.chunks, k)), weights
 
 
-def fused(scores: DataFrame, neighbours: DataFrame, depth: int = DEPTH) -> DataFrame:
+def fused(ranks: DataFrame, neighbours: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(qid, id, score, rank) in fused order, as deep as any page can reach."""
-    both = R.hybrid(R.text_ranks(scores, neighbours, depth), neighbours)
-    return top_k(both, ["qid"], R.ranked_by(), depth)
+    return top_k(R.hybrid(ranks, neighbours), ["qid"], R.ranked_by(), depth)
 
 
 def _filter_key(columns: list[Column]) -> Column:
@@ -79,16 +78,15 @@ def match_all(blank: DataFrame, index: SearchIndex, depth: int = DEPTH) -> tuple
     return ranked, keyed.join(counts, "fkey").select("qid", *FILTER_FIELDS, "n")
 
 
-def candidate_counts(scores: DataFrame, neighbours: DataFrame, index: SearchIndex) -> DataFrame:
+def candidate_counts(scores: DataFrame, ranks: DataFrame, neighbours: DataFrame,
+                     index: SearchIndex) -> DataFrame:
     """How many candidates (text matches and neighbours) each query has per
-    combination of facet values."""
+    combination of facet values. ``ranks`` holds every neighbour that is a text
+    match, so the scores are read once, to count them."""
     matched = scores.groupBy("qid", *FILTER_FIELDS).agg(F.count("*").alias("n"))
-    near = lookup_join(index.chunks.select("id", *FILTER_FIELDS), neighbours.select("qid", "id"),
-                       ["id"], "inner", "id")
-    near_text = lookup_join(scores.select("qid", "id"), neighbours.select("qid", "id"),
-                            ["qid", "id"], "left_semi", "id")
-    extra = near.join(near_text, ["qid", "id"], "left_anti") \
-        .groupBy("qid", *FILTER_FIELDS).agg(F.count("*").alias("n"))
+    only_near = checkpointed(neighbours.select("qid", "id").join(ranks, ["qid", "id"], "left_anti"))
+    near = lookup_join(index.chunks.select("id", *FILTER_FIELDS), only_near, ["id"], "inner", "id")
+    extra = near.groupBy("qid", *FILTER_FIELDS).agg(F.count("*").alias("n"))
     return matched.unionByName(extra).groupBy("qid", *FILTER_FIELDS).agg(F.sum("n").alias("n"))
 
 
@@ -103,7 +101,9 @@ def rerank_order(ranked: DataFrame, terms: DataFrame, index: SearchIndex) -> Dat
     """Fused rows with ``reranker``, ``caption`` and the final position ``rn``:
     the reranked head first, by its new score, then the rest as fused."""
     head = ranked.filter(F.col("rank") <= R.RERANK_DEPTH)
-    scored = R.rerank(with_chunks(head, index), terms)
+    # 50 passages per query, dealt out evenly because reading them is costly.
+    tasks = int(head.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = R.rerank(with_chunks(head, index).repartition(tasks, "qid", "id"), terms)
     scored = checkpointed(top_k(scored, ["qid"], R.ranked_by("reranker"), R.RERANK_DEPTH, "rn")
                           .select(*_PAGE, "reranker", "caption", "caption_score"))
     rest = ranked.filter(F.col("rank") > R.RERANK_DEPTH).withColumn("rn", F.col("rank"))
@@ -116,11 +116,12 @@ def search(queries: DataFrame, index: SearchIndex, fn: Embedder | None = None) -
     accepted = checkpointed(accepted)
     asked, blank = accepted.filter("q <> ''"), accepted.filter("q = ''")
     scores, neighbours, weights = text_and_neighbours(asked, index, fn=fn, facets=True)
-    ranked = rerank_order(checkpointed(fused(scores, neighbours)), R.term_lists(weights), index)
+    ranks = checkpointed(R.text_ranks(scores, neighbours, DEPTH))
+    ranked = rerank_order(checkpointed(fused(ranks, neighbours)), R.term_lists(weights), index)
     everything, blank_counts = match_all(blank, index)
     listed = ranked.unionByName(everything.withColumn("rn", F.col("rank")).select(*_PAGE),
                                 allowMissingColumns=True)
     page = S.page_slice(lookup_join(listed, accepted.select("qid", "skip", "top"), ["qid"], "inner", "id"))
     cards = S.result_card(S.collapse(with_chunks(checkpointed(page), index)))
-    counts = candidate_counts(scores, neighbours, index).unionByName(blank_counts)
+    counts = candidate_counts(scores, ranks, neighbours, index).unionByName(blank_counts)
     return Response(R.answers(ranked.filter("caption is not null")), S.facets(counts), cards, rejected)

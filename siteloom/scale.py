@@ -39,6 +39,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """The same for a wide intermediate that several jobs read by column: a
+    Parquet table in the shared folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal the rows of a file scan over all cores when it has fewer files than
     that (a file of one row group is read by one task, however it is split); a
