@@ -80,10 +80,14 @@ def sitemap_expand(spark, sf):
     return N.page_dedup(found)
 
 
+def _records(pages):
+    marked = M.main_content(pages, keep=("content_type", "html", "fetched_at"))
+    return E.page_record(marked).withColumn("lastmod", F.lit(None).cast("string"))
+
+
 def _artifacts(spark, sf):
     landed = D.landed(spark, sf)
-    pages = E.page_record(landed, markdown=M.main_content(D.landed_pages(spark, sf))) \
-        .withColumn("lastmod", F.lit(None).cast("string"))
+    pages = _records(D.landed_pages(spark, sf))
     return K.page_bundle(pages).unionByName(K.binary_artifact(E.binary_record(landed)))
 
 
@@ -117,10 +121,7 @@ def _described(artifacts):
 
 @query
 def sink_page_bundle(spark, sf):
-    pages = D.landed_pages(spark, sf)
-    records = E.page_record(pages, markdown=M.main_content(pages)) \
-        .withColumn("lastmod", F.lit(None).cast("string"))
-    return _described(K.page_bundle(records))
+    return _described(K.page_bundle(_records(D.landed_pages(spark, sf))))
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
 from siteloom.operators.filters import on_hosts
+from siteloom.scale import checkpointed, lookup_join
 
 # File types fetched as linked documents and as images.
 DOC_EXTENSIONS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".csv", ".txt")
@@ -129,18 +130,17 @@ def binary_record(landed: DataFrame) -> DataFrame:
         U.content_hash("body").alias("content_hash"), F.col("fetched_at").alias("crawled_at")))
 
 
-def page_record(landed: DataFrame, markdown: DataFrame | None = None,
-                lastmod: DataFrame | None = None) -> DataFrame:
-    """Full page rows; ``markdown`` (url, markdown) and ``lastmod`` (loc,
-    lastmod) are joined in when given."""
+def page_record(landed: DataFrame, lastmod: DataFrame | None = None) -> DataFrame:
+    """Full page rows. A ``markdown`` column is taken over; ``lastmod`` (loc,
+    lastmod) is joined in when given."""
     html, _ = split_by_type(landed)
     pages = html.select(
         "url", U.page_base_name("url").alias("base_name"), page_title("html").alias("title"),
         U.language_from_url("url").alias("language"), U.section_from_url("url").alias("section"),
-        "html", U.content_hash("html").alias("content_hash"),
-        F.col("fetched_at").alias("crawled_at"), U.url_host("url").alias("host"))
-    if markdown is not None:
-        pages = pages.join(markdown.select("url", "markdown"), "url", "left")
+        "html", *[c for c in ("markdown",) if c in landed.columns],
+        U.content_hash("html").alias("content_hash"), F.col("fetched_at").alias("crawled_at"),
+        U.url_host("url").alias("host"))
     if lastmod is not None:
-        pages = pages.join(lastmod.select(F.col("loc").alias("url"), "lastmod"), "url", "left")
+        dated = checkpointed(lastmod.select(F.col("loc").alias("url"), "lastmod"))
+        pages = lookup_join(pages, dated, ["url"], "left", "content_hash")
     return pages

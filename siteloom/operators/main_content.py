@@ -73,11 +73,11 @@ def to_markdown(block: Column) -> Column:
     return F.translate(F.when(level != "", heading).otherwise(block), LINK_OPEN + LINK_CLOSE, "[]")
 
 
-def page_blocks(pages: DataFrame, link_density: float = 0.5) -> DataFrame:
+def page_blocks(pages: DataFrame, link_density: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """(url, host, blocks) after the structure rules; blocks are Markdown."""
     kept = F.filter(F.col("_blocks"), lambda b: link_share(b) <= F.lit(link_density))
-    return (pages.select("url", U.url_host("url").alias("host"), blocks("html").alias("_blocks"))
-            .select("url", "host", F.transform(kept, to_markdown).alias("blocks")))
+    return (pages.select("url", *keep, U.url_host("url").alias("host"), blocks("html").alias("_blocks"))
+            .select("url", *keep, "host", F.transform(kept, to_markdown).alias("blocks")))
 
 
 def block_counts(page_blocks_df: DataFrame) -> DataFrame:
@@ -96,20 +96,21 @@ def repeated_blocks(page_blocks_df: DataFrame, repeat_share: float) -> DataFrame
     A host's list is short by construction: it cannot exceed the mean number
     of blocks of its pages divided by the share.
     """
-    totals = page_blocks_df.groupBy("host").agg(F.count("*").alias("host_pages"))
+    totals = checkpointed(page_blocks_df.groupBy("host").agg(F.count("*").alias("host_pages")))
     often = block_counts(page_blocks_df).filter(F.col("n_pages") >= MIN_REPEAT_PAGES)
-    often = often.join(totals, "host").filter(
+    often = lookup_join(often, totals, ["host"], "inner", "block_hash").filter(
         F.col("n_pages") >= F.col("host_pages") * F.lit(repeat_share))
     return often.groupBy("host").agg(F.collect_set("block_hash").alias("repeated"))
 
 
 def main_content(pages: DataFrame, repeat_share: float = 0.5,
-                 link_density: float = 0.5) -> DataFrame:
-    """(url, markdown): every page's main text; '' when nothing is left."""
-    cut = page_blocks(pages, link_density)
-    repeated = checkpointed(repeated_blocks(cut, repeat_share))
+                 link_density: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, markdown): every page's main text; '' when nothing is left. The
+    ``keep`` columns of a page stay with it, which spares joining them back."""
+    cut = page_blocks(pages, link_density, keep)
+    repeated = checkpointed(repeated_blocks(cut.select("url", "host", "blocks"), repeat_share))
     joined = lookup_join(cut, repeated, ["host"], "left", "url")
     none = F.array().cast("array<string>")
     kept = F.filter("blocks", lambda b: ~F.array_contains(
         F.coalesce(F.col("repeated"), none), F.sha2(b, 256)))
-    return joined.select("url", F.array_join(kept, "\n\n").alias("markdown"))
+    return joined.select("url", *keep, F.array_join(kept, "\n\n").alias("markdown"))

@@ -18,8 +18,8 @@ def ingest(landed: DataFrame, manifest: DataFrame | None, incremental: bool = Tr
     extraction then sees the changed pages only.
     """
     accepted, _ = N.with_errors(landed)
-    changed = N.changed_pages(accepted, manifest, incremental).drop("base_name", "content_hash")
-    pages = X.page_record(changed, markdown=main_content(changed)) \
+    changed = N.changed_pages(accepted, manifest, incremental)
+    pages = X.page_record(main_content(changed, keep=("content_type", "html", "fetched_at"))) \
         .withColumn("lastmod", F.lit(None).cast("string"))
     artifacts = sinks.page_bundle(pages).unionByName(sinks.binary_artifact(X.binary_record(accepted)))
     return artifacts if manifest is None else N.changed_artifacts(artifacts, manifest)
