@@ -247,7 +247,7 @@ def doc_refs(spark, sf):
     return E.doc_refs(D.pages_with_assets(spark, sf))
 
 
-def _assets(spark, sf, dedup=False):
+def _assets(spark, sf):
     pages = D.pages_with_assets(spark, sf)
     images = E.asset_filter(E.image_refs(pages), E.IMAGE_EXTENSIONS, ASSET_HOSTS)
     docs = E.asset_filter(E.doc_refs(pages), E.DOC_EXTENSIONS, ASSET_HOSTS)
