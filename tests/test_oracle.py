@@ -6,10 +6,10 @@ import pathlib
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from checks import oracle, registry
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -27,13 +27,13 @@ def plain(value):
 
 
 def test_every_query_but_the_approximate_one_has_sql():
-    assert set(entry.queries()) - set(SQL) == {"knn_approx"}
-    assert set(SQL) <= set(entry.queries())
+    assert set(registry.QUERIES) - set(SQL) == {"knn_approx"}
+    assert set(SQL) <= set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, engine, name):
-    df = entry.queries()[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     columns = sorted(df.columns)
