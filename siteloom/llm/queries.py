@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import decontaminate
+from siteloom.llm import chat_format, decontaminate, quality_rules, url_filter
 from siteloom.llm.tables import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.array(*[
+        F.struct(F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("content"))
+        for role in ("user", "assistant")]).alias("messages"))
+    turns = chat_format.canonical_turns(table(spark, sf_dir, "conversations")).union(chat_format.canonical_turns(planted))
+    out = chat_format.formatted(turns).withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn(
+        "loss", chat_format.read_loss(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                      F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -18,8 +31,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages).select("_row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rules = quality_rules.train(documents, table(spark, sf_dir, "labels"))
+    return quality_rules.judged(documents, rules).select("doc.doc_id", *quality_rules.COUNTS[:5], "base_failed", "rule", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality_rules": op5_quality_rules,
 }
 
 SQL: dict[str, str] = {}
