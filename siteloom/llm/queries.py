@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import chat_format, decontaminate, jaccard_join, quality_rules, url_filter
+from siteloom.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, url_filter
 from siteloom.llm.tables import table
 
 
@@ -42,6 +43,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents, rules).select("doc.doc_id", *quality_rules.COUNTS[:5], "base_failed", "rule", "kept")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(packing.TOKENIZER)
+    return packing.packed(table(spark, sf_dir, "documents"), path, with_ids=False)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
