@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, url_filter
+from siteloom.llm import chat_format, decontaminate, jaccard_join, line_chunks, packing, quality_rules, url_filter
 from siteloom.llm.tables import table
 
 
@@ -43,6 +43,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents, rules).select("doc.doc_id", *quality_rules.COUNTS[:5], "base_failed", "rule", "kept")
 
 
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_chunks.deduplicated(table(spark, sf_dir, "documents"))
+    lines = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["lines"])
+    return done.select("doc.doc_id", F.size("spans").cast("bigint").alias("n_removed_chunks"), lines.alias("n_removed_lines"),
+                       (F.length("doc.text") - F.length("text")).cast("bigint").alias("n_removed_chars"),
+                       F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(packing.TOKENIZER)
     return packing.packed(table(spark, sf_dir, "documents"), path, with_ids=False)
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_chunks": op6_line_chunks,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
