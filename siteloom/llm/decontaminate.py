@@ -135,7 +135,7 @@ def extended(mine: str, theirs: str, reach: int, k: int) -> tuple[F.Column, F.Co
 
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
                   window: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """Per document: id, n_words, n_hit (words inside any shared window), items (ids of the
+    """Per document: id, row key, n_words, n_hit (words inside any shared window), items (ids of the
     items whose windows occur, as sorted strings) and spans (word ranges hit, half open)."""
     reach = window - k
     items = written(scan(benchmark, item_id, window, k, -1).select(
@@ -163,6 +163,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
              .select("row", "items", F.array_sort("spans").alias("spans"), merged.alias("n_hit")))
     none = F.array().cast("array<string>")
     return (docs.select("id", "row", "n_words").join(found, "row", "left")
-            .select(F.col("id").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+            .select(F.col("id").alias(doc_id), "row", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
                     F.coalesce("items", none).alias("items"),
                     F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans")))
