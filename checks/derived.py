@@ -126,15 +126,16 @@ def ocr_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as queries, and one blank query per language. Items with
-    the word "the" ask for English only; items of several lines skip five."""
+    the word "the" ask for English only; items of several lines skip sixty. One blank
+    query is of tabs and line breaks."""
     none = F.lit(None).cast("string")
     asked = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"), F.col("text").alias("q"),
         F.when(F.contains("text", F.lit(" the ")), "en").alias("language"), none.alias("section"),
         none.alias("kind"), F.lit(20).alias("top"),
-        F.when(F.contains("text", F.lit("\n")), 5).otherwise(0).alias("skip"))
+        F.when(F.contains("text", F.lit("\n")), 60).otherwise(0).alias("skip"))
     blank = table(spark, sf, "documents").groupBy("lang").agg(F.min("doc_id").alias("d")).select(
-        (-1 - F.col("d")).alias("qid"), F.lit("").alias("q"), F.col("lang").alias("language"),
+        (-1 - F.col("d")).alias("qid"), F.when(F.col("lang") == "en", "\t\n").otherwise("").alias("q"), F.col("lang").alias("language"),
         none.alias("section"), none.alias("kind"), F.lit(20).alias("top"), F.lit(0).alias("skip"))
     return asked.unionByName(blank)
 

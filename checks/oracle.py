@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import re
 
-from siteloom.functions.text import NAMED_ENTITIES, SENTENCE, TOKEN_BREAK, WHITESPACE
+from siteloom.functions.text import SENTENCE, TOKEN_BREAK, WHITESPACE
 from siteloom.operators.extract import (ANY_TAG, ATTRIBUTE, DOC_EXTENSIONS, IMAGE_EXTENSIONS, NOISE,
                                         TITLE)
 from siteloom.operators.main_content import HEADING, LINK_CLOSE, LINK_OPEN, REWRITES
 
 PARTS: dict[str, str] = {}
 RESULTS: dict[str, str] = {}
+#: The references that stand in the given pages; the ampersand last.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "eacute": "é", "ndash": "–", "copy": "©", "amp": "&"}
+#: Parts that a statement reads more than once.
+SHARED = {"scores", "near", "fused", "covers", "second", "ix_post", "text_rank"}
 TS = "TIMESTAMP '2024-01-01 00:00:00'"
 NOW = "TIMESTAMP '2024-04-30 00:00:00'"
 SPLIT_EXT = r"(?s)^(.*[^/.][^/]*)(\.[^/.]*)$"
@@ -34,7 +38,7 @@ def _assemble(sql: str) -> str:
                 needed.append(name)
 
     visit(sql)
-    ctes = ",\n".join(f"{name} AS ({PARTS[name]})" for name in needed)
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in SHARED)}({PARTS[name]})" for name in needed)
     return f"WITH RECURSIVE {ctes}\n{sql}" if needed else sql
 
 
@@ -103,7 +107,7 @@ def header_safe(t: str) -> str:
 
 
 def unescape(t: str) -> str:
-    for name, char in NAMED_ENTITIES.items():
+    for name, char in ENTITIES.items():
         t = f"replace({t}, '&{name};', {q(char)})"
     return t
 
@@ -181,9 +185,9 @@ PARTS["all_src"] = """SELECT * FROM docs_src UNION ALL SELECT * FROM pages_src
     UNION ALL SELECT * FROM asset_src"""
 PARTS["ocr"] = """SELECT 'doc-' || c.conv_id AS parent_id, d.n_chars * c.turn // 9 AS off, c.turn AS ord,
     c.text FROM conversations c JOIN documents d ON d.doc_id = c.conv_id"""
-PARTS["asked"] = """SELECT item_id AS qid, trim(text, ' ') AS q,
+PARTS["asked"] = f"""SELECT item_id AS qid, regexp_replace(text, {q('^' + WHITESPACE + '|' + WHITESPACE + '$')}, '', 'g') AS q,
     CASE WHEN contains(text, ' the ') THEN 'en' END AS language, 20 AS top,
-    CASE WHEN contains(text, chr(10)) THEN 5 ELSE 0 END AS skip FROM benchmark"""
+    CASE WHEN contains(text, chr(10)) THEN 60 ELSE 0 END AS skip FROM benchmark"""
 PARTS["blank"] = """SELECT -1 - min(doc_id) AS qid, lang AS language, 20 AS top, 0 AS skip
     FROM documents GROUP BY lang"""
 PARTS["robots"] = """SELECT DISTINCT host, 'https://' || host || '/sitemap.xml' AS loc FROM pg"""
@@ -349,7 +353,7 @@ RESULTS["changed_pages"] = """SELECT url, base_name, content_hash FROM pg
 RESULTS["stream_changed_pages"] = RESULTS["changed_pages"].replace("SELECT url, base_name", "SELECT base_name, url")
 RESULTS["changed_artifacts"] = """SELECT 'pages' AS container, base_name || ext AS name FROM pg,
     (VALUES ('.html'), ('.md'), ('.json')) e(ext) WHERE NOT EXISTS (SELECT 1 FROM manifest m
-      WHERE m.name = pg.base_name || ext AND m.content_hash = pg.content_hash)"""
+      WHERE m.name = pg.base_name || '.html' AND m.content_hash = pg.content_hash)"""
 PARTS["classed"] = """SELECT p.base_name, p.content_hash, CASE WHEN m.base_name IS NULL THEN 'new'
     WHEN m.content_hash = p.content_hash THEN 'unchanged' ELSE 'changed' END AS change_class
     FROM pg p LEFT JOIN manifest m USING (base_name)"""
@@ -476,10 +480,10 @@ RESULTS["bm25_topk"] = "SELECT qid, id, score, rank::INTEGER AS rank FROM text_r
 PARTS["ix_vec"] = hashed("ix_chunks", "id", "chunk")
 PARTS["q_vec"] = hashed("asked", "qid", "q")
 PARTS["near"] = """SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
-      SELECT qid, id, round(coalesce(s, 0), 6) AS score FROM (SELECT qid, want, id FROM
-        (SELECT DISTINCT qid FROM q_vec) JOIN (SELECT qid, language AS want FROM asked) USING (qid),
-        (SELECT DISTINCT id FROM ix_vec) JOIN (SELECT id, language FROM ix_chunks) USING (id)
-        WHERE want IS NULL OR want = language)
+      SELECT qid, id, round(coalesce(s, 0), 6) AS score FROM (SELECT DISTINCT qid, id FROM
+        (SELECT DISTINCT qid FROM q_vec) JOIN (SELECT qid, coalesce(language, 'any') AS want FROM asked) USING (qid)
+        JOIN (SELECT DISTINCT id, unnest([language, 'any']) AS want FROM ix_vec JOIN (SELECT id, language FROM ix_chunks) USING (id))
+          USING (want))
       LEFT JOIN (SELECT qid, id, sum((a.w / a.norm) * (b.w / b.norm)) AS s FROM q_vec a
         JOIN ix_vec b USING (bucket) GROUP BY ALL) USING (qid, id))
     QUALIFY rank <= 50"""
@@ -528,13 +532,13 @@ PARTS["final"] = """SELECT qid, id, score, reranker, caption, caption_score,
 RESULTS["rerank"] = "SELECT qid, id, rn::INTEGER AS rn, reranker FROM final"
 RESULTS["captions"] = "SELECT qid, id, caption, caption_score FROM second"
 RESULTS["answers"] = """SELECT qid, 1 AS answer_rank, caption AS text, caption_score AS score FROM final
-    WHERE caption <> '' AND caption_score >= 0.5
+    WHERE caption <> ''
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY caption_score DESC, id) = 1"""
 
 # -- shaping -------------------------------------------------------------------
 
 PARTS["paged"] = """SELECT qid, id, score, rank AS rn FROM text_rank JOIN asked USING (qid)
-    WHERE rank <= 50 AND rank > skip AND rank <= skip + top"""
+    WHERE rank > skip AND rank <= skip + top"""
 RESULTS["page_slice"] = "SELECT qid, id, rn::INTEGER AS rn FROM paged"
 
 

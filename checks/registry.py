@@ -584,7 +584,7 @@ def facet_counts(spark, sf):
 
 def _paged(spark, sf):
     asked = _asked(spark, sf)
-    ranked = R.bm25(asked, index_of(spark, sf)).withColumnRenamed("rank", "rn")
+    ranked = R.bm25(asked, index_of(spark, sf), P.DEPTH).withColumnRenamed("rank", "rn")
     return S.page_slice(ranked.join(asked.select("qid", "skip", "top"), "qid"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,10 @@ DEFAULT_MEDIA_TYPE = "application/octet-stream"
 RTL_RANGE = r"[\x{0600}-\x{06FF}]"
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE = r"[^.!?؟\n]+[.!?؟]*"
-# Named character references understood besides numeric ones;
-# the ampersand comes last so that "&amp;lt;" is decoded once only.
-NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+# Named character references of HTML, the common ones first.
+COMMON_ENTITIES = ["amp", "nbsp", "lt", "gt", "quot", "apos"]
+NAMED_ENTITIES = {name: html5[f"{name};"] for name in
+                  [*COMMON_ENTITIES, *sorted(n[:-1] for n in html5 if n.endswith(";") and n[:-1] not in COMMON_ENTITIES)]}
 
 
 def _c(col: str | Column) -> Column:
@@ -28,6 +31,11 @@ def collapse_space(col: str | Column) -> Column:
     return F.trim(F.regexp_replace(_c(col), WHITESPACE, " "))
 
 
+def stripped(col: str | Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_c(col), f"^{WHITESPACE}|{WHITESPACE}$", "")
+
+
 def header_safe(col: str | Column) -> Column:
     """One-line value; percent-encoded unless it is all ASCII."""
     flat = collapse_space(F.coalesce(_c(col), F.lit("")))
@@ -55,11 +63,6 @@ def text_direction(col: str | Column) -> Column:
     return F.when(_c(col).rlike(RTL_RANGE), F.lit("rtl")).otherwise(F.lit("ltr"))
 
 
-def card_direction(language: str | Column) -> Column:
-    """A result card follows the language of its page."""
-    return F.when(_c(language) == "ar", F.lit("rtl")).otherwise(F.lit("ltr"))
-
-
 def _code_point(number: Column) -> Column:
     """Character of a Unicode code point; U+FFFD outside the valid range."""
     ok = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
@@ -67,26 +70,25 @@ def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Decode ``&#65;`` and ``&#x41;``: split at ``&#``, decode every head."""
-    def piece(part: Column, i: Column) -> Column:
-        dec = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
-        rest = F.regexp_replace(part, r"^[xX]?[0-9A-Fa-f]+;", "")
-        return (F.when(i == 0, part)
-                .when(dec != "", F.concat(_code_point(dec.cast("bigint")), rest))
-                .when(hexa != "", F.concat(_code_point(F.conv(hexa, 16, 10).cast("bigint")), rest))
-                .otherwise(F.concat(F.lit("&#"), part)))
-    return F.array_join(F.transform(F.split(text, "&#"), piece), "")
+def unescape(col: str | Column) -> Column:
+    """Decode the character references of HTML text, named and numeric, each
+    once: the text is split at ``&`` and the head of every part is looked up."""
+    names = F.create_map(*[F.lit(v) for pair in NAMED_ENTITIES.items() for v in pair])
 
+    def piece(part: Column, i: Column) -> Column:
+        dec = F.regexp_extract(part, r"^#([0-9]{1,7});", 1)
+        hexa = F.regexp_extract(part, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
+        known = F.try_element_at(names, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1))
+        char = (F.when(dec != "", _code_point(dec.cast("bigint")))
+                .when(hexa != "", _code_point(F.conv(hexa, 16, 10).cast("bigint")))
+                .otherwise(known))
+        rest = F.substr(part, F.locate(";", part) + 1)
+        return (F.when(i == 0, part).when(char.isNotNull(), F.concat(char, rest))
+                .otherwise(F.concat(F.lit("&"), part)))
 
-def unescape(col: str | Column) -> Column:
-    """Decode the character references of HTML text."""
     text = _c(col)
-    out = F.when(F.contains(text, F.lit("&#")), _numeric_entities(text)).otherwise(text)
-    for name, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    decoded = F.array_join(F.transform(F.split(text, "&"), piece), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def tokens(col: str | Column, analyzer: str = "standard") -> Column:

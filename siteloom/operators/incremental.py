@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls as U
+from siteloom.functions.text import stripped
 from siteloom.operators.extract import split_by_type
 from siteloom.scale import checkpointed, is_small, lookup_join
 
@@ -47,13 +48,30 @@ def changed_pages(landed: DataFrame, manifest: DataFrame | None,
     return lookup_join(pages, changed, keys, "left_semi", "url")
 
 
+def guard_name() -> Column:
+    """The artifact whose stored hash decides: a page's HTML for all files of
+    its bundle, else the artifact itself."""
+    page = F.col("container") == "pages"
+    return F.when(page, F.regexp_replace("name", r"\.(md|json)$", ".html")).otherwise(F.col("name"))
+
+
 def changed_artifacts(artifacts: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Artifacts whose stored hash is missing or different; the hash travels in
-    the metadata map."""
-    keyed = artifacts.withColumn("content_hash", F.try_element_at("metadata", F.lit("contenthash")))
-    keys = ["container", "name", "content_hash"]
-    stored = manifest.select(*keys).filter("content_hash is not null").distinct()
-    return lookup_join(keyed, stored, keys, "left_anti", "name").drop("content_hash")
+    """Artifacts whose guard is not stored with the same hash; the hash travels
+    in the metadata map. A page's files are stored or skipped together.
+
+    With a large manifest only keys are shuffled to find what changed; bodies
+    are picked up by a second join on that list.
+    """
+    keys = ["container", "_guard", "content_hash"]
+    keyed = artifacts.withColumns({"_guard": guard_name(),
+                                   "content_hash": F.try_element_at("metadata", F.lit("contenthash"))})
+    stored = manifest.filter("content_hash is not null").select(
+        "container", F.col("name").alias("_guard"), "content_hash").distinct()
+    if is_small(stored):
+        return keyed.join(F.broadcast(stored), keys, "left_anti").drop("_guard", "content_hash")
+    named = keyed.withColumn("content_hash", F.coalesce("content_hash", F.lit("")))
+    changed = checkpointed(named.select(*keys).distinct().join(stored, keys, "left_anti"))
+    return lookup_join(named, changed, keys, "left_semi", "name").drop("_guard", "content_hash")
 
 
 def classify(pages: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -115,7 +133,7 @@ def refresh_index(chunks: DataFrame, rebuilt: DataFrame, changed: DataFrame) ->
 def with_errors(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): rows that cannot be processed are set aside with a
     reason and never stop the run."""
-    error = (F.when(F.col("url").isNull() | (F.trim("url") == ""), "no url")
+    error = (F.when(F.col("url").isNull() | (stripped("url") == ""), "no url")
              .when(U.url_host("url") == "", "no host")
              .when(F.col("content_type").isNull(), "no content type")
              .when(F.col("html").isNull() & F.col("body").isNull(), "no body"))

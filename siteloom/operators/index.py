@@ -202,9 +202,3 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 def term_df(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "term").agg(F.count("*").alias("df"))
-
-
-def build_index(chunks: DataFrame) -> SearchIndex:
-    """Index tables over chunk rows that already have vectors."""
-    posted = postings(chunks)
-    return SearchIndex(chunks, posted, term_df(posted), corpus_stats(doc_len(chunks)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
 from siteloom.operators.extract import ANY_TAG, NOISE
-from siteloom.scale import checkpointed, lookup_join
+from siteloom.scale import checkpointed, lookup_join, written
 
 # Elements dropped whole, tags that end a block, and the control
 # characters that mark block ends, link text and headings until the last step.
@@ -107,7 +107,7 @@ def main_content(pages: DataFrame, repeat_share: float = 0.5,
                  link_density: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """(url, markdown): every page's main text; '' when nothing is left. The
     ``keep`` columns of a page stay with it, which spares joining them back."""
-    cut = page_blocks(pages, link_density, keep)
+    cut = written(page_blocks(pages, link_density, keep), "blocks")
     repeated = checkpointed(repeated_blocks(cut.select("url", "host", "blocks"), repeat_share))
     joined = lookup_join(cut, repeated, ["host"], "left", "url")
     none = F.array().cast("array<string>")

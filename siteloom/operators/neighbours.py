@@ -20,7 +20,8 @@ from siteloom.scale import checkpointed, is_small, top_k
 from siteloom.schemas import FILTER_FIELDS
 
 QUERY_BYTES = 32 * 1024 * 1024
-QUERY_BLOCK, CHUNK_BLOCK = 2000, 100_000
+BLOCK_BYTES = 64 * 1024 * 1024
+SCORE_ROWS = 2000
 _OUT = "qid bigint, id string, score double"
 
 
@@ -122,9 +123,12 @@ def _knn_sent(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 
 def _knn_blocks(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Every block of queries meets every block of chunks exactly once."""
-    n_query = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_chunk = max(1, -(-rows.count() // CHUNK_BLOCK))
+    """Every block of queries meets every block of chunks exactly once. Blocks
+    hold ``BLOCK_BYTES`` of vectors at most, and scores are made for
+    ``SCORE_ROWS`` chunks at a time."""
+    size = lambda df: df.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)) * 8).first()[0]
+    n_query = max(1, -(-size(queries) // (BLOCK_BYTES // 4)))
+    n_chunk = max(1, -(-size(rows) // BLOCK_BYTES))
     every_query = F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))
     every_chunk = F.explode(F.sequence(F.lit(0), F.lit(n_chunk - 1)))
     left = queries.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(n_query)).cast("int")) \
@@ -136,8 +140,10 @@ def _knn_blocks(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         if some_queries.empty or some_rows.empty:
             return pd.DataFrame({"qid": [], "id": [], "score": []})
         best = _Best(some_queries, k)
-        best.add(some_rows["id"].to_numpy(), np.stack(some_rows["vector"].to_numpy()).astype(np.float64),
-                 {c: some_rows[c].to_numpy() for c in (*FILTER_FIELDS, "cell") if c in some_rows})
+        for at in range(0, len(some_rows), SCORE_ROWS):
+            part = some_rows.iloc[at:at + SCORE_ROWS]
+            best.add(part["id"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(np.float64),
+                     {c: part[c].to_numpy() for c in (*FILTER_FIELDS, "cell") if c in part})
         return best.rows()
 
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(search, _OUT)

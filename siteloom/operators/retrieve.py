@@ -142,16 +142,12 @@ def rerank(candidates: DataFrame, terms: DataFrame, depth: int = RERANK_DEPTH) -
         F.when(ranked, F.col("best_sentence.cover")).alias("caption_score"))
 
 
-def captions(candidates: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, id, caption): the passage's best sentence, as plain text."""
-    return with_sentences(candidates, terms).select(
-        "qid", "id", F.col("best_sentence.text").alias("caption"))
-
-
-def answers(captioned: DataFrame, min_score: float = 0.5, n: int = 1) -> DataFrame:
-    """(qid, text, score): the best extracts of a query; empty or weak ones are
-    left out."""
-    good = captioned.filter((F.col("caption") != "") & (F.col("caption_score") >= min_score))
+def answers(captioned: DataFrame, min_score: float | None = None, n: int = 1) -> DataFrame:
+    """(qid, text, score): the best extracts of a query; empty ones are left
+    out, and weak ones where a least score is given."""
+    good = captioned.filter(F.col("caption") != "")
+    if min_score is not None:
+        good = good.filter(F.col("caption_score") >= min_score)
     best = top_k(good, ["qid"], [F.desc("caption_score"), F.asc("id")], n, "answer_rank")
     return best.select("qid", "answer_rank", F.col("caption").alias("text"),
                        F.col("caption_score").alias("score"))

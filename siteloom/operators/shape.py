@@ -42,14 +42,14 @@ def page_slice(ranked: DataFrame) -> DataFrame:
 
 
 def collapse(page: DataFrame) -> DataFrame:
-    """One row per parent, else per URL, else per row.
+    """One row per parent, else per decoded URL, else per row.
 
     It keeps the first position of its group and the content of the best
     reranked chunk; equal scores keep the earlier one. Pages hold 50 rows at
     most, so the window stays small.
     """
     key = F.coalesce(F.concat(F.lit("p:"), F.nullif(F.col("parent_id"), F.lit(""))),
-                     F.concat(F.lit("u:"), F.nullif(F.col("source_url"), F.lit(""))),
+                     F.concat(F.lit("u:"), F.nullif(percent_decode("source_url"), F.lit(""))),
                      F.concat(F.lit("r:"), F.col("rn").cast("string")))
     group = Window.partitionBy("qid", "_key")
     best = group.orderBy(F.coalesce("reranker", F.lit(0.0)).desc(), F.asc("rn"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.operators import extract as X
@@ -11,15 +13,34 @@ from siteloom.operators.main_content import main_content
 from siteloom.sources import sinks
 
 
-def ingest(landed: DataFrame, manifest: DataFrame | None, incremental: bool = True) -> DataFrame:
-    """Artifacts to store for a batch of responses.
+@dataclass(frozen=True)
+class Ingested:
+    """``rejected`` holds the responses that cannot be processed, with the reason."""
+
+    artifacts: DataFrame
+    rejected: DataFrame
+
+
+def ingest(landed: DataFrame, manifest: DataFrame | None, incremental: bool = True) -> Ingested:
+    """Artifacts to store for a batch of responses, and what was set aside.
 
     Unchanged pages are dropped by hash before anything is parsed; the costly
     extraction then sees the changed pages only.
     """
-    accepted, _ = N.with_errors(landed)
+    accepted, rejected = N.with_errors(landed)
     changed = N.changed_pages(accepted, manifest, incremental)
     pages = X.page_record(main_content(changed, keep=("content_type", "html", "fetched_at"))) \
         .withColumn("lastmod", F.lit(None).cast("string"))
     artifacts = sinks.page_bundle(pages).unionByName(sinks.binary_artifact(X.binary_record(accepted)))
-    return artifacts if manifest is None else N.changed_artifacts(artifacts, manifest)
+    return Ingested(artifacts if manifest is None else N.changed_artifacts(artifacts, manifest), rejected)
+
+
+def next_manifest(manifest: DataFrame, artifacts: DataFrame, stored_at: Column) -> DataFrame:
+    """The manifest after a run: what it stored replaces rows of the same name,
+    and a stored artifact is no longer deleted."""
+    page = F.col("container") == "pages"
+    base = F.when(page, F.regexp_replace("name", r"\.(html|md|json)$", ""))
+    rows = artifacts.select("container", "name", base.alias("base_name"),
+                            F.try_element_at("metadata", F.lit("contenthash")).alias("content_hash"),
+                            stored_at.alias("modified_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return sinks.upsert(manifest, rows, ["container", "name"], ["modified_at"])

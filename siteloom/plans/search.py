@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.functions.text import stripped
 from siteloom.operators import filters as Q
 from siteloom.operators import neighbours as V
 from siteloom.operators import retrieve as R
@@ -36,7 +37,7 @@ def prepare(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected); texts are trimmed, blank filters become null."""
     accepted, rejected = Q.split_queries(queries)
     tidy = {f: F.nullif(F.col(f), F.lit("")) for f in FILTER_FIELDS}
-    return accepted.withColumns({"q": F.trim("q"), **tidy}), rejected
+    return accepted.withColumns({"q": stripped("q"), **tidy}), rejected
 
 
 def text_and_neighbours(asked: DataFrame, index: SearchIndex, k: int = NEIGHBOURS,

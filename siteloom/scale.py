@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,21 +66,26 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return byte_size(df) <= max_bytes
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: str | Column,
-                max_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: str | Column | None = None,
+                max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a large side with a lookup side whose size is measured first.
 
-    Small: broadcast, so the large side never moves. Else: both sides shuffle,
-    with each key of the large side dealt over ``salts`` tasks by ``spread``
-    and the lookup rows copied to them, so a hot key cannot fill one task.
-    ``how`` is inner, left, left_semi or left_anti.
+    Small: broadcast, so the large side never moves. Else both sides shuffle once
+    on the keys and no row is copied; a task whose key is hot on the large side
+    is split by adaptive execution, which copies the lookup rows of that task only.
+    ``how`` is inner, left, left_semi or left_anti, for all of which the large
+    (left) side can be split.
     """
     if is_small(right, max_bytes):
         return left.join(F.broadcast(right), on, how)
-    spread = F.col(spread) if isinstance(spread, str) else spread
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+    return left.join(right, on, how)
+
+
+def allow_early_limit(spark: SparkSession, k: int) -> None:
+    """Spark limits a ranked window before its shuffle only up to a threshold;
+    raise it where a deeper rank is asked for."""
+    if int(spark.conf.get(GROUP_LIMIT, "1000")) < k:
+        spark.conf.set(GROUP_LIMIT, str(k))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
@@ -90,6 +96,7 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     those are merged in ``salts`` groups of tasks and then once more, so the
     last sort of a key sees ``salts * k`` rows, however many tasks there were.
     """
+    allow_early_limit(df.sparkSession, k)
     group = F.pmod(F.spark_partition_id(), F.lit(salts))
     first = Window.partitionBy(*keys, "_group").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)

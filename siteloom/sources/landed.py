@@ -60,23 +60,21 @@ def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
         .filter("loc <> ''")
 
 
-def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, max_depth: int = 10) -> DataFrame:
+def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """Page entries reachable from the seed sitemaps through nested indexes.
 
     Breadth first over (parent, child) pairs only; every round is cut off by a
     checkpoint and the documents themselves are joined once at the end. Each
-    sitemap is visited once, so cycles end.
+    sitemap is visited once, so cycles end, and any depth is followed.
     """
     children = checkpointed(
         _parsed(sitemaps).select(F.col("url").alias("loc"), F.inline("_doc.sitemap").alias("child", "_"))
         .select("loc", F.trim("child").alias("child")).filter("child <> ''"))
     visited = checkpointed(seeds.select("loc").distinct())
     frontier = visited
-    for _ in range(max_depth):
+    while not frontier.isEmpty():
         found = children.join(frontier, "loc", "left_semi").select(F.col("child").alias("loc"))
         frontier = checkpointed(found.distinct().join(visited, "loc", "left_anti"))
-        if frontier.isEmpty():
-            break
         visited = checkpointed(visited.unionByName(frontier))
     reached = sitemaps.join(visited.withColumnRenamed("loc", "url"), "url", "left_semi")
     return sitemap_entries(reached)

@@ -100,11 +100,6 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def write_container(artifacts: DataFrame, path: str) -> None:
-    """Append artifacts below one folder per container."""
-    artifacts.write.mode("append").partitionBy("container").parquet(path)
-
-
 # A batch table is a folder of batch_id=N parts. A replayed batch overwrites its
 # own part, so writing it twice changes nothing.
 

@@ -95,7 +95,7 @@ def test_fusion_does_not_depend_on_the_order_of_legs(spark):
     assert {r.id: r.score for r in one}["y"] == pytest.approx(1 / 62 + 1 / 61, abs=1e-8)
 
 
-def test_collapse_equals_a_plain_loop(spark):
+def test_collapse_keeps_one_row_per_key(spark):
     values = random.Random(11)
     rows = []
     for q in range(60):
@@ -104,19 +104,32 @@ def test_collapse_equals_a_plain_loop(spark):
             rows.append((q, rn, parent, values.choice(["u", "v", None, ""]) if not parent else "s",
                          values.choice([None, 0.0, 1.0, 2.0])))
     df = spark.createDataFrame(rows, "qid long, rn int, parent_id string, source_url string, reranker double")
-    found = {(r.qid, r.pos, r.rn) for r in S.collapse(df).collect()}
-    wanted = set()
+    found = S.collapse(df).collect()
+    members = {}
+    for row in rows:
+        members.setdefault((row[0], row[2] or None, None if row[2] else row[3] or row[1]), []).append(row)
+    best = {max(own, key=lambda r: (r[4] or 0.0, -r[1])) for own in members.values()}
+    assert {(r.qid, r.rn) for r in found} == {(r[0], r[1]) for r in best} and len(found) == len(members)
     for q in range(60):
-        best, order = {}, []
-        for _, rn, parent, url, score in sorted(r for r in rows if r[0] == q):
-            key = ("p", parent) if parent else ("u", url) if url else ("r", rn)
-            if key not in best:
-                order.append(key)
-                best[key] = (rn, score)
-            elif (score or 0) > (best[key][1] or 0):
-                best[key] = (rn, score)
-        wanted |= {(q, n, best[key][0]) for n, key in enumerate(order, 1)}
-    assert found == wanted
+        first = sorted((min(r[1] for r in own), max(own, key=lambda r: (r[4] or 0.0, -r[1]))[1])
+                       for key, own in members.items() if key[0] == q)
+        assert [rn for _, rn in first] == [r.rn for r in sorted((r for r in found if r.qid == q), key=lambda r: r.pos)]
+
+
+def test_collapse_of_a_few_given_rows(spark):
+    rows = [(1, 1, "a", "s", 1.0), (1, 2, "b", "s", 3.0), (1, 3, "a", "s", 2.0), (1, 4, None, "http://h/%C3%A9", None),
+            (1, 5, "", "http://h/é", None), (1, 6, None, None, 9.0), (1, 7, None, "", 9.0), (1, 8, "b", "s", 3.0)]
+    df = spark.createDataFrame(rows, "qid long, rn int, parent_id string, source_url string, reranker double")
+    assert sorted((r.pos, r.rn) for r in S.collapse(df).collect()) == [(1, 3), (2, 2), (3, 4), (4, 6), (5, 7)]
+
+
+@pytest.mark.parametrize("k", [1000, 1050])
+def test_ranks_are_limited_before_the_shuffle(spark, k):
+    df = spark.range(5000).select((F.col("id") % 2).alias("qid"), F.col("id"))
+    top = scale.top_k(df, ["qid"], [F.asc("id")], k)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4
+    assert top.count() == 2 * k
 
 
 def test_facets_count_values_and_skip_nulls(spark):
@@ -142,8 +155,8 @@ def test_top_k_is_exact_for_a_hot_key(spark, salts):
 def test_salted_join_equals_broadcast_join(spark, how):
     left = spark.range(200).select(F.col("id"), F.when(F.col("id") < 150, 0).otherwise(F.col("id") % 5).alias("k"))
     right = spark.createDataFrame([(0, "a"), (2, "b"), (2, "c"), (9, "d")], "k long, v string")
-    one = scale.lookup_join(left, right, ["k"], how, "id").collect()
-    two = scale.lookup_join(left, right, ["k"], how, "id", max_bytes=0, salts=4)
+    one = scale.lookup_join(left, right, ["k"], how).collect()
+    two = scale.lookup_join(left, right, ["k"], how, max_bytes=0)
     assert sorted(map(str, one)) == sorted(map(str, two.collect()))
     assert "Broadcast" not in two.hint("merge")._jdf.queryExecution().optimizedPlan().toString()
 

@@ -39,20 +39,46 @@ def stored(artifacts):
 
 
 def test_a_second_ingest_stores_nothing(spark, responses):
-    first = crawl.ingest(responses, None)
+    first = crawl.ingest(responses, None).artifacts
     assert {r.container: r["count"] for r in first.groupBy("container").count().collect()} == {
         "pages": 18, "docs": 1, "images": 1}
     manifest = stored(first).cache()
-    assert crawl.ingest(responses, manifest).count() == 0
+    assert crawl.ingest(responses, manifest).artifacts.count() == 0
     changed = responses.withColumn("html", F.when(F.col("url").contains("p3"), "<p>new</p>").otherwise(F.col("html")))
-    assert crawl.ingest(changed, manifest).count() == 3
-    assert crawl.ingest(changed, manifest, incremental=False).count() == 3
+    assert crawl.ingest(changed, manifest).artifacts.count() == 3
+    assert crawl.ingest(changed, manifest, incremental=False).artifacts.count() == 3
     keys = N.page_keys(responses.filter("url <> ''"))
     assert {r.change_class for r in N.classify(keys, manifest).collect()} == {"unchanged"}
 
 
+def test_rejected_responses_are_returned(spark, responses):
+    assert [(r.url, r.error) for r in crawl.ingest(responses, None).rejected.collect()] == [("", "no url")]
+
+
+def test_the_manifest_of_a_run_makes_the_next_one_empty(spark, responses):
+    empty = stored(crawl.ingest(responses, None).artifacts).limit(0).withColumns(
+        {"modified_at": F.lit(T0), "deleted_at": F.lit(None).cast("timestamp")})
+    first = crawl.ingest(responses, empty)
+    after = crawl.next_manifest(empty, first.artifacts, F.lit(T0)).cache()
+    assert after.count() == first.artifacts.count() == 20
+    assert crawl.ingest(responses, after).artifacts.count() == 0
+    changed = responses.withColumn("html", F.when(F.col("url").contains("p3"), "<p>new</p>").otherwise(F.col("html")))
+    again = crawl.next_manifest(after, crawl.ingest(changed, after).artifacts, F.lit(T0 + dt.timedelta(1))).cache()
+    assert again.count() == 20 and again.filter(F.col("modified_at") > F.lit(T0)).count() == 3
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_a_page_is_judged_by_its_html_alone(spark, responses, monkeypatch, small):
+    artifacts = crawl.ingest(responses, None).artifacts.cache()
+    manifest = stored(artifacts).filter("name like '%.html' or container <> 'pages'")
+    monkeypatch.setattr(N, "is_small", lambda df: small)
+    assert N.changed_artifacts(artifacts, manifest).count() == 0
+    left = N.changed_artifacts(artifacts, manifest.filter("name not like '%p2%'"))
+    assert sorted(r.name.rsplit(".", 1)[1] for r in left.collect()) == ["html", "json", "md"]
+
+
 def test_large_manifest_gives_the_same_changes(spark, responses, monkeypatch):
-    manifest = stored(crawl.ingest(responses, None)).filter("name not like '%p2%'").cache()
+    manifest = stored(crawl.ingest(responses, None).artifacts).filter("name not like '%p2%'").cache()
     small = {r.url for r in N.changed_pages(responses.filter("url <> ''"), manifest).collect()}
     monkeypatch.setattr(N, "is_small", lambda df: False)
     assert {r.url for r in N.changed_pages(responses.filter("url <> ''"), manifest).collect()} == small == {
@@ -60,7 +86,7 @@ def test_large_manifest_gives_the_same_changes(spark, responses, monkeypatch):
 
 
 def test_page_bundle_describes_the_page(spark, responses):
-    rows = {r.name.rsplit(".", 1)[1]: r for r in crawl.ingest(responses.filter("url like '%p1%'"), None).collect()}
+    rows = {r.name.rsplit(".", 1)[1]: r for r in crawl.ingest(responses.filter("url like '%p1%'"), None).artifacts.collect()}
     described = json.loads(bytes(rows["json"].data).decode())
     assert described["title"] == "T1 é" and described["lastmod"] is None and described["crawledAt"] == "2024-01-01T00:01:00+00:00"
     assert bytes(rows["md"].data).decode() == "Body number 1."
@@ -95,6 +121,12 @@ def test_nested_sitemaps_cycles_and_entities(spark):
     assert {(r.loc, r.lastmod) for r in found.collect()} == {("u1?a=1&b", None), ("u2", "2024"), ("u1", None)}
 
 
+def test_sitemaps_of_any_depth(spark):
+    chain = [(f"i{n}", f"<sitemapindex><sitemap><loc>i{n + 1}</loc></sitemap></sitemapindex>") for n in range(14)]
+    maps = spark.createDataFrame([*chain, ("i14", "<urlset><url><loc>u</loc></url></urlset>")], "url string, xml string")
+    assert [r.loc for r in L.sitemap_expand(spark.createDataFrame([("i0",)], "loc string"), maps).collect()] == ["u"]
+
+
 def test_loose_files_are_pruned_by_name(spark, tmp_path):
     for name in ("a.png", "b.PNG", "c.txt", "d.jpg"):
         (tmp_path / name).write_bytes(b"x")
