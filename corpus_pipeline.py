@@ -33,7 +33,7 @@ WORD = r"[^ \t-\r]"
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents whose row key is not in ``rows``."""
     keyed = docs.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row"))
-    return lookup_join(keyed, rows, ["row"], "left_anti", "row").select("doc.*")
+    return lookup_join(keyed, rows, ["row"], "left_anti").select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
     theirs = items.select("item", "size", "hash", F.col("near").alias("theirs"))
     mine = docs.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumnRenamed("near", "mine")
-    matched = lookup_join(mine, theirs, ["size", "hash"], "inner", "row")
+    matched = lookup_join(mine, theirs, ["size", "hash"], "inner")
     middle, before, after = extended("mine", "theirs", reach, k)
     hits = (matched.withColumn("before", F.when(F.col("size") == 0, before).otherwise(0))
             .withColumn("after", F.when(F.col("size") == 0, after).otherwise(0))

@@ -130,6 +130,6 @@ def deduplicated(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         F.concat(F.col("spans.start"), F.array(F.octet_length(text).cast("bigint"))),
         lambda a, b: F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
     none = F.array().cast("array<struct<start:bigint,stop:bigint,lines:bigint>>")
-    return lookup_join(rows, spans, ["row"], "left", "row").select(
+    return lookup_join(rows, spans, ["row"], "left").select(
         "doc", F.when(F.col("spans").isNull(), text).otherwise(F.array_join(edges, "")).alias("text"),
         F.coalesce("spans", none).alias("spans"))

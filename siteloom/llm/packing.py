@@ -324,7 +324,7 @@ def packed(documents: DataFrame, path: str, doc_id: str = "doc_id", limit: int =
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "part").orderBy("row", "piece")
-    numbered = lookup_join(pieces.withColumn("within", F.row_number().over(order) - 1), base, ["length", "part"], "inner", "row")
+    numbered = lookup_join(pieces.withColumn("within", F.row_number().over(order) - 1), base, ["length", "part"], "inner")
     placed = numbered.withColumn("at", F.col("base") + F.col("within"))
     low, high = F.col("s.low"), F.col("s.high")
     found = placed.alias("p").join(F.broadcast(slots).alias("s"), (F.col("p.length") == F.col("s.length"))

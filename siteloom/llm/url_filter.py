@@ -139,7 +139,7 @@ def judged(df: DataFrame, labelled: Column | None = None, rules: tuple[Rule, ...
     cut = with_parts(kept, "_given").withColumn("rule", matched(rules, "text")).withColumn("ruled", matched(rules, "verdict"))
     own = F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0) if labelled is None else labelled
     cut = with_features(cut.withColumn("blocked", own))
-    full = lookup_join(cut, written(suffix_statistics(cut, "blocked"), "suffixes"), ["suffix"], "left", "_url")
+    full = lookup_join(cut, written(suffix_statistics(cut, "blocked"), "suffixes"), ["suffix"], "left")
     score = train(full, "blocked", sample)
     return full.withColumn("score", score).select(
         "_row", "host", "path", "rule", "score",

@@ -172,7 +172,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0, shard_bytes
     copies = (rows.filter(F.col("size") >= min_revisit).groupBy("key").agg(F.min("page").alias("leader"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1").select("key", "leader", F.lit(True).alias("copied")))
     first = F.col("copied").isNull() | F.col("page").eqNullSafe(F.col("leader"))
-    named = lookup_join(rows, copies, ["key"], "left", "page").select(
+    named = lookup_join(rows, copies, ["key"], "left").select(
         "page", "url", "size", "digest", "key", F.when(first, F.col("payload")).alias("payload"),
         F.when(F.col("copied"), F.col("leader")).otherwise(F.col("page")).alias("leader"), F.col("copied").isNotNull().alias("copied"),
         F.coalesce("page", F.lit(-(1 << 63))).alias("page_id"), F.xxhash64("key").alias("spread"),
