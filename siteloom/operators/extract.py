@@ -142,5 +142,5 @@ def page_record(landed: DataFrame, lastmod: DataFrame | None = None) -> DataFram
         U.url_host("url").alias("host"))
     if lastmod is not None:
         dated = checkpointed(lastmod.select(F.col("loc").alias("url"), "lastmod"))
-        pages = lookup_join(pages, dated, ["url"], "left", "content_hash")
+        pages = lookup_join(pages, dated, ["url"], "left")
     return pages

@@ -15,7 +15,7 @@ TOP_RANGE, TOP_DEFAULT = (1, 50), 20
 SKIP_RANGE, SKIP_DEFAULT = (0, 1000), 0
 
 
-def on_hosts(df: DataFrame, host: Column, hosts: list[str] | DataFrame, spread: str) -> DataFrame:
+def on_hosts(df: DataFrame, host: Column, hosts: list[str] | DataFrame) -> DataFrame:
     """Rows whose host is an allowed one or lies below it.
 
     A configured list is tested in the row. A DataFrame (column ``host``) is
@@ -30,18 +30,18 @@ def on_hosts(df: DataFrame, host: Column, hosts: list[str] | DataFrame, spread:
         "_host", F.explode(U.host_suffixes("_host")).alias("host"))
     allowed = hosts.select(F.lower("host").alias("host")).distinct()
     passed = suffixes.join(allowed, "host", "left_semi").select("_host").distinct()
-    return lookup_join(marked, checkpointed(passed), ["_host"], "left_semi", spread).drop("_host")
+    return lookup_join(marked, checkpointed(passed), ["_host"], "left_semi").drop("_host")
 
 
 def allowed_domains(df: DataFrame, domains: list[str] | None = None,
                     seeds: DataFrame | None = None) -> DataFrame:
     """Keep URLs on the allowed domains; without a list, on the seeds' hosts."""
     if domains:
-        return on_hosts(df, U.url_host("url"), domains, "url")
+        return on_hosts(df, U.url_host("url"), domains)
     if seeds is None:
         raise ValueError("give domains or seeds")
     hosts = seeds.select(U.url_host("url").alias("host")).filter("host <> ''")
-    return on_hosts(df, U.url_host("url"), hosts, "url")
+    return on_hosts(df, U.url_host("url"), hosts)
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
@@ -97,7 +97,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """
     path = F.regexp_extract("url", rf"^(?:{U.SCHEME})?(?:{U.AUTHORITY})?([^#]*)", 1)
     joined = lookup_join(urls.withColumn("_host", U.url_host("url")),
-                         rules.withColumnRenamed("host", "_host"), ["_host"], "left", "url")
+                         rules.withColumnRenamed("host", "_host"), ["_host"], "left")
     joined = joined.withColumn("_path", F.when(path == "", F.lit("/")).otherwise(path))
     hits = F.filter("rules", lambda r: _rule_matches(F.col("_path"), r.pattern))
     best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r.pattern), r.allow.alias("allow"))))

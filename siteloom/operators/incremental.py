@@ -45,7 +45,7 @@ def changed_pages(landed: DataFrame, manifest: DataFrame | None,
     if is_small(known):
         return pages.join(F.broadcast(known), keys, "left_anti")
     changed = checkpointed(pages.select(*keys).distinct().join(known, keys, "left_anti"))
-    return lookup_join(pages, changed, keys, "left_semi", "url")
+    return lookup_join(pages, changed, keys, "left_semi")
 
 
 def guard_name() -> Column:
@@ -71,13 +71,13 @@ def changed_artifacts(artifacts: DataFrame, manifest: DataFrame) -> DataFrame:
         return keyed.join(F.broadcast(stored), keys, "left_anti").drop("_guard", "content_hash")
     named = keyed.withColumn("content_hash", F.coalesce("content_hash", F.lit("")))
     changed = checkpointed(named.select(*keys).distinct().join(stored, keys, "left_anti"))
-    return lookup_join(named, changed, keys, "left_semi", "name").drop("_guard", "content_hash")
+    return lookup_join(named, changed, keys, "left_semi").drop("_guard", "content_hash")
 
 
 def classify(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """``change_class`` per page key: new, changed or unchanged."""
     known = known_hashes(manifest).withColumnRenamed("content_hash", "known_hash")
-    joined = lookup_join(pages, known, ["base_name"], "left", "base_name")
+    joined = lookup_join(pages, known, ["base_name"], "left")
     return joined.withColumn(
         "change_class", F.when(F.col("known_hash").isNull(), "new")
         .when(F.col("known_hash") == F.col("content_hash"), "unchanged")
@@ -120,13 +120,13 @@ def drop_deleted(chunks: DataFrame, tombstones: DataFrame, soft_delete: bool = T
     if not soft_delete:
         return chunks
     gone = tombstones.filter("deleted_at is not null").select("parent_id").distinct()
-    return lookup_join(chunks, gone, ["parent_id"], "left_anti", "id")
+    return lookup_join(chunks, gone, ["parent_id"], "left_anti")
 
 
 def refresh_index(chunks: DataFrame, rebuilt: DataFrame, changed: DataFrame) -> DataFrame:
     """All chunks of a changed parent are replaced by its rebuilt ones."""
     parents = changed.select("parent_id").distinct()
-    kept = lookup_join(chunks, parents, ["parent_id"], "left_anti", "id")
+    kept = lookup_join(chunks, parents, ["parent_id"], "left_anti")
     return kept.unionByName(rebuilt)
 
 
@@ -146,5 +146,4 @@ def attach_snapshot(results: DataFrame, manifest: DataFrame) -> DataFrame:
     stored = manifest.filter(F.col("container") == "snapshots").select(
         F.col("name").alias("snapshot")).distinct()
     wanted = results.withColumn("_name", U.snapshot_name("source_url"))
-    return lookup_join(wanted, stored.withColumn("_name", F.col("snapshot")), ["_name"], "left",
-                       "source_url").drop("_name")
+    return lookup_join(wanted, stored.withColumn("_name", F.col("snapshot")), ["_name"], "left").drop("_name")

@@ -28,7 +28,7 @@ def merge_inserts(docs: DataFrame, ocr_text: DataFrame) -> DataFrame:
     """
     inserts = ocr_text.groupBy("parent_id").agg(F.array_sort(F.collect_list(
         F.struct("content_offset", "ord", "text"))).alias("_inserts"))
-    joined = lookup_join(docs, inserts, ["parent_id"], "left", "parent_id")
+    joined = lookup_join(docs, inserts, ["parent_id"], "left")
     length = F.length("content")
 
     def offset(i: Column) -> Column:

@@ -98,7 +98,7 @@ def repeated_blocks(page_blocks_df: DataFrame, repeat_share: float) -> DataFrame
     """
     totals = checkpointed(page_blocks_df.groupBy("host").agg(F.count("*").alias("host_pages")))
     often = block_counts(page_blocks_df).filter(F.col("n_pages") >= MIN_REPEAT_PAGES)
-    often = lookup_join(often, totals, ["host"], "inner", "block_hash").filter(
+    often = lookup_join(often, totals, ["host"], "inner").filter(
         F.col("n_pages") >= F.col("host_pages") * F.lit(repeat_share))
     return often.groupBy("host").agg(F.collect_set("block_hash").alias("repeated"))
 
@@ -109,7 +109,7 @@ def main_content(pages: DataFrame, repeat_share: float = 0.5,
     ``keep`` columns of a page stay with it, which spares joining them back."""
     cut = written(page_blocks(pages, link_density, keep), "blocks")
     repeated = checkpointed(repeated_blocks(cut.select("url", "host", "blocks"), repeat_share))
-    joined = lookup_join(cut, repeated, ["host"], "left", "url")
+    joined = lookup_join(cut, repeated, ["host"], "left")
     none = F.array().cast("array<string>")
     kept = F.filter("blocks", lambda b: ~F.array_contains(
         F.coalesce(F.col("repeated"), none), F.sha2(b, 256)))

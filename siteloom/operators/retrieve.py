@@ -34,7 +34,7 @@ def weighted_terms(queries: DataFrame, index: SearchIndex) -> DataFrame:
     """Query terms that occur, with idf weight and the query's filters."""
     terms = query_terms(queries)
     wanted = terms.select("field", "term").distinct()
-    found = lookup_join(index.term_df, checkpointed(wanted), ["field", "term"], "left_semi", "term")
+    found = lookup_join(index.term_df, checkpointed(wanted), ["field", "term"], "left_semi")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     stats = F.broadcast(index.corpus_stats)  # one row per searchable field
     filters = queries.select("qid", *[F.col(f).alias(f"_{f}") for f in FILTER_FIELDS])
@@ -49,7 +49,7 @@ def bm25_scores(queries: DataFrame, index: SearchIndex, weights: DataFrame | Non
     filters, summed over the searchable fields; with the facet fields on
     request."""
     weights = checkpointed(weighted_terms(queries, index)) if weights is None else weights
-    hits = lookup_join(index.postings, weights, ["field", "term"], "inner", "id")
+    hits = lookup_join(index.postings, weights, ["field", "term"], "inner")
     for f in FILTER_FIELDS:
         hits = hits.filter(F.col(f"_{f}").isNull() | (F.col(f) == F.col(f"_{f}")))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (
@@ -77,13 +77,13 @@ def text_ranks(scores: DataFrame, neighbours: DataFrame, depth: int) -> DataFram
     above = checkpointed(steps.groupBy("qid", "step").agg(F.count("*").alias("n")).withColumn(
         "above", F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")))
     lowest = above.filter(F.col("above") < depth).groupBy("qid").agg(F.min("step").alias("lowest"))
-    high = lookup_join(steps, lowest, ["qid"], "inner", "id").filter("step >= lowest")
+    high = lookup_join(steps, lowest, ["qid"], "inner").filter("step >= lowest")
     head = top_k(high.select("qid", "id", "score"), ["qid"], ranked_by(), depth, "text_rank").drop("score")
-    marks = checkpointed(lookup_join(steps, neighbours.select("qid", "id"), ["qid", "id"], "left_semi", "id"))
+    marks = checkpointed(lookup_join(steps, neighbours.select("qid", "id"), ["qid", "id"], "left_semi"))
     mark = marks.select("qid", "step", F.col("id").alias("mark"), F.col("score").alias("mark_score"))
     ahead = (F.col("score") > F.col("mark_score")) | (
         (F.col("score") == F.col("mark_score")) & (F.col("id") < F.col("mark")))
-    inside = lookup_join(steps, mark, ["qid", "step"], "inner", "id").filter(ahead | (F.col("id") == F.col("mark"))) \
+    inside = lookup_join(steps, mark, ["qid", "step"], "inner").filter(ahead | (F.col("id") == F.col("mark"))) \
         .groupBy("qid", "step", F.col("mark").alias("id")).agg(F.count("*").alias("inside"))
     deep = inside.join(above, ["qid", "step"]).select(
         "qid", "id", (F.col("above") + F.col("inside")).cast("int").alias("text_rank"))
@@ -119,7 +119,7 @@ def term_lists(weights: DataFrame) -> DataFrame:
 
 def with_sentences(candidates: DataFrame, terms: DataFrame) -> DataFrame:
     """Add the terms and the best sentence: highest cover, then first."""
-    joined = lookup_join(candidates, terms, ["qid"], "left", "id")
+    joined = lookup_join(candidates, terms, ["qid"], "left")
     none = F.array().cast("array<struct<term:string,idf:double>>")
     joined = joined.withColumn("terms", F.coalesce("terms", none))
     scored = F.transform(sentences("chunk"), lambda s, i: F.struct(

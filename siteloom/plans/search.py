@@ -72,7 +72,7 @@ def match_all(blank: DataFrame, index: SearchIndex, depth: int = DEPTH) -> tuple
     any_or = [[F.col(f), F.lit(None).cast("string")] for f in FILTER_FIELDS]
     possible = F.array(*[_filter_key([a, b, c]) for a in any_or[0] for b in any_or[1] for c in any_or[2]])
     rows = index.chunks.select("id", *FILTER_FIELDS, F.explode(F.array_distinct(possible)).alias("fkey"))
-    passing = lookup_join(rows, keys, ["fkey"], "left_semi", "id")
+    passing = lookup_join(rows, keys, ["fkey"], "left_semi")
     counts = passing.groupBy("fkey", *FILTER_FIELDS).agg(F.count("*").alias("n"))
     head = top_k(passing.select("fkey", "id"), ["fkey"], [F.asc("id")], depth)
     ranked = keyed.join(head, "fkey").select("qid", "id", F.lit(1.0).alias("score"), "rank")
@@ -86,7 +86,7 @@ def candidate_counts(scores: DataFrame, ranks: DataFrame, neighbours: DataFrame,
     match, so the scores are read once, to count them."""
     matched = scores.groupBy("qid", *FILTER_FIELDS).agg(F.count("*").alias("n"))
     only_near = checkpointed(neighbours.select("qid", "id").join(ranks, ["qid", "id"], "left_anti"))
-    near = lookup_join(index.chunks.select("id", *FILTER_FIELDS), only_near, ["id"], "inner", "id")
+    near = lookup_join(index.chunks.select("id", *FILTER_FIELDS), only_near, ["id"], "inner")
     extra = near.groupBy("qid", *FILTER_FIELDS).agg(F.count("*").alias("n"))
     return matched.unionByName(extra).groupBy("qid", *FILTER_FIELDS).agg(F.sum("n").alias("n"))
 
@@ -95,7 +95,7 @@ def with_chunks(rows: DataFrame, index: SearchIndex) -> DataFrame:
     """Fetch the stored fields of a short list of (qid, id) rows; the list is
     what travels, the chunk table is scanned where it lies."""
     chunks = index.chunks.drop("vector")
-    return lookup_join(chunks, rows, ["id"], "inner", "id")
+    return lookup_join(chunks, rows, ["id"], "inner")
 
 
 def rerank_order(ranked: DataFrame, terms: DataFrame, index: SearchIndex) -> DataFrame:
@@ -122,7 +122,7 @@ def search(queries: DataFrame, index: SearchIndex, fn: Embedder | None = None) -
     everything, blank_counts = match_all(blank, index)
     listed = ranked.unionByName(everything.withColumn("rn", F.col("rank")).select(*_PAGE),
                                 allowMissingColumns=True)
-    page = S.page_slice(lookup_join(listed, accepted.select("qid", "skip", "top"), ["qid"], "inner", "id"))
+    page = S.page_slice(lookup_join(listed, accepted.select("qid", "skip", "top"), ["qid"], "inner"))
     cards = S.result_card(S.collapse(with_chunks(checkpointed(page), index)))
     counts = candidate_counts(scores, ranks, neighbours, index).unionByName(blank_counts)
     return Response(R.answers(ranked.filter("caption is not null")), S.facets(counts), cards, rejected)

@@ -66,7 +66,7 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return byte_size(df) <= max_bytes
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: str | Column | None = None,
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
                 max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a large side with a lookup side whose size is measured first.
 

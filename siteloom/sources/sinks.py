@@ -88,7 +88,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[s
     rest = [c for c in updates.columns if c not in keys]
     latest = updates.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
-    kept = lookup_join(target, latest.select(*keys), keys, "left_anti", keys[-1])
+    kept = lookup_join(target, latest.select(*keys), keys, "left_anti")
     return kept.unionByName(latest)
 
 

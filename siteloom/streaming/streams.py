@@ -60,7 +60,7 @@ def stream_changed_pages(landed: DataFrame, table: str, checkpoint: str,
         if manifest is not None:
             start = N.known_hashes(manifest)
             known = known.unionByName(start.join(known, "base_name", "left_anti"))
-        fresh = lookup_join(latest, known, ["base_name", "content_hash"], "left_anti", "base_name")
+        fresh = lookup_join(latest, known, ["base_name", "content_hash"], "left_anti")
         sinks.write_batch(fresh.select(*STORED_SCHEMA.fieldNames()), table, batch_id)
     return run_available(landed, checkpoint, each)
 
