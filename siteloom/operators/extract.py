@@ -93,8 +93,7 @@ def asset_filter(refs: DataFrame, extensions: tuple[str, ...],
     """Keep asset URLs with a listed extension on an asset host or below one."""
     bare = F.lower(F.substring_index("asset_url", "#", 1))
     wanted = r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z"
-    return on_hosts(refs.filter(U.url_path(bare).rlike(wanted)), U.url_host(bare), hosts,
-                    spread="source_page")
+    return on_hosts(refs.filter(U.url_path(bare).rlike(wanted)), U.url_host(bare), hosts)
 
 
 def asset_dedup(refs: DataFrame) -> DataFrame:
