@@ -16,9 +16,9 @@ from siteloom.operators.main_content import HEADING, LINK_CLOSE, LINK_OPEN, REWR
 PARTS: dict[str, str] = {}
 RESULTS: dict[str, str] = {}
 #: The references that stand in the given pages; the ampersand last.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "eacute": "é", "ndash": "–", "copy": "©", "amp": "&"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": "\"", "copy": "©", "middot": "·", "amp": "&"}
 #: Parts that a statement reads more than once.
-SHARED = {"scores", "near", "fused", "covers", "second", "ix_post", "text_rank"}
+SHARED = {"scores", "near", "fused", "covers", "second", "ix_post", "text_rank", "fused_five", "covers_five", "near_cells"}
 TS = "TIMESTAMP '2024-01-01 00:00:00'"
 NOW = "TIMESTAMP '2024-04-30 00:00:00'"
 SPLIT_EXT = r"(?s)^(.*[^/.][^/]*)(\.[^/.]*)$"
@@ -492,6 +492,15 @@ RESULTS["knn_all_cells"] = """SELECT a.vec_id AS qid, b.vec_id::VARCHAR AS id, r
       / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score,
     (row_number() OVER (PARTITION BY qid ORDER BY score DESC, b.vec_id::VARCHAR))::INTEGER AS rank
     FROM embeddings a, embeddings b QUALIFY rank <= 10"""
+PARTS["unit"] = """SELECT vec_id, list_transform(embedding::DOUBLE[],
+      lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings"""
+PARTS["centres"] = """SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR)) AS cell, v AS c FROM unit QUALIFY cell <= 20"""
+PARTS["near_cells"] = """SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id
+      ORDER BY list_dot_product(c, c) - 2 * list_dot_product(v, c), cell) AS r FROM unit CROSS JOIN centres"""
+RESULTS["knn_approx"] = """SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INTEGER AS rank
+    FROM (SELECT a.vec_id AS qid, b.vec_id::VARCHAR AS id, round(list_dot_product(x.v, y.v), 6) AS score
+      FROM near_cells a JOIN near_cells b ON a.cell = b.cell AND a.r <= 6 AND b.r = 1
+      JOIN unit x ON x.vec_id = a.vec_id JOIN unit y ON y.vec_id = b.vec_id) QUALIFY rank <= 10"""
 RESULTS["knn_exact"] = "SELECT qid, id, score, rank::INTEGER AS rank FROM near"
 PARTS["fused"] = """SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
       SELECT qid, id, round(sum(1 / (60 + rank)), 9) AS score FROM (
@@ -565,9 +574,14 @@ RESULTS["collapse_parent"] = """SELECT qid, pos::INTEGER AS pos, parent_id, id,
 RESULTS["result_card"] = card("text_cards")
 RESULTS["display_text"] = """SELECT qid, pos::INTEGER AS pos, coalesce(nullif(caption, ''),
     nullif(substr(chunk, 1, 400), '')) AS text, round(reranker, 2) AS score FROM text_cards"""
-RESULTS["cli_rows"] = f"""SELECT qid, rank::INTEGER AS rn, NULL::DOUBLE AS reranker, score, language, kind,
+#: The same chain with five neighbours instead of fifty.
+PARTS["near_five"] = "SELECT * FROM near WHERE rank <= 5"
+_CHAIN = ["fused", "head", "units", "covers", "best_sentence", "second", "final"]
+for _name in _CHAIN:
+    PARTS[f"{_name}_five"] = re.sub(rf"\b(FROM|JOIN) ({'|'.join([*_CHAIN, 'near'])})\b", r"\1 \2_five", PARTS[_name])
+RESULTS["cli_rows"] = f"""SELECT qid, rn::INTEGER AS rn, reranker, score, language, kind,
     url_decode(coalesce(title, '')) AS title, url_decode(source_url) AS source_url,
-    substr({flat('chunk')}, 1, 160) AS snippet FROM text_rank JOIN ix_chunks USING (id) WHERE rank <= 5"""
+    substr({flat('chunk')}, 1, 160) AS snippet FROM final_five JOIN ix_chunks USING (id) WHERE rn <= 5"""
 PARTS["listed"] = """SELECT qid, id, score, reranker, caption, rn, skip, top FROM final JOIN asked USING (qid)
     UNION ALL SELECT qid, id, score, NULL, NULL, rank, skip, top FROM everything JOIN blank USING (qid)"""
 PARTS["full_page"] = """SELECT p.qid, p.rn, p.score, p.reranker, p.caption, c.* FROM listed p

@@ -532,8 +532,9 @@ def knn_exact(spark, sf):
 def _cells(spark, sf, probes):
     vectors = D.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    centres = V.train_cells(vectors, 20)
-    return V.knn_approx(vectors.drop("id"), V.assign_cells(vectors, centres), centres, probes, k=10)
+    centres = V.chosen_centres(vectors, 20)
+    placed = V.write_cells(vectors, centres, scratch_path(spark, "cells"))
+    return V.knn_approx(vectors.drop("id"), placed, centres, probes, k=10)
 
 
 @query
@@ -554,9 +555,9 @@ def hybrid_rrf(spark, sf):
     return P.fused(R.text_ranks(scores, near, P.DEPTH), near)
 
 
-def _reranked(spark, sf):
+def _reranked(spark, sf, k=P.NEIGHBOURS):
     index = index_of(spark, sf)
-    scores, near, weights = P.text_and_neighbours(_asked(spark, sf), index)
+    scores, near, weights = P.text_and_neighbours(_asked(spark, sf), index, k)
     ranked = checkpointed(P.fused(R.text_ranks(scores, near, P.DEPTH), near))
     return P.rerank_order(ranked, R.term_lists(weights), index)
 
@@ -618,11 +619,10 @@ def display_text(spark, sf):
 
 @query
 def cli_rows(spark, sf):
-    """The flat list shows the best five of each query."""
-    asked = _asked(spark, sf)
-    best = R.bm25(asked, index_of(spark, sf), k=5).withColumnRenamed("rank", "rn")
-    rows = P.with_chunks(checkpointed(best), index_of(spark, sf))
-    return S.cli_rows(rows.withColumn("reranker", F.lit(None).cast("double")))
+    """The flat list shows the best five of each query: five neighbours are
+    fused with the text leg, and the head is ranked anew."""
+    best = _reranked(spark, sf, 5).filter("rn <= 5").select("qid", "id", "rn", "score", "reranker")
+    return S.cli_rows(P.with_chunks(checkpointed(best), index_of(spark, sf)))
 
 
 @query

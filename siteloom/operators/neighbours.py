@@ -177,6 +177,21 @@ def nearest_cells(df: DataFrame, centres: np.ndarray, n: int, name: str = "cells
     return df.withColumn(name, F.arrow_udf(nearest, "array<int>")(F.col("vector")))
 
 
+def chosen_centres(chunks: DataFrame, cells: int, key: str = "id") -> np.ndarray:
+    """Centres without training: the unit vectors of the ``cells`` rows whose
+    key has the lowest digest."""
+    rows = (chunks.filter("vector is not null").select(F.md5(F.col(key).cast("string")).alias("digest"), "vector")
+            .orderBy("digest").limit(cells).toPandas())
+    return _unit(np.stack(rows["vector"].to_numpy()).astype(np.float64))
+
+
+def write_cells(chunks: DataFrame, centres: np.ndarray, path: str) -> DataFrame:
+    """Build step: vectors laid out by cell. Queries read only the cells they probe."""
+    placed = assign_cells(chunks, centres)
+    placed.write.partitionBy("cell").parquet(path)
+    return placed.sparkSession.read.parquet(path)
+
+
 def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     """Add ``cell``; written with ``partitionBy('cell')`` it prunes the scan."""
     placed = nearest_cells(chunks.filter("vector is not null"), centres, 1, "_cells")
