@@ -58,7 +58,7 @@ LAYOUTS = (
     Layout("question and answer", ("question", "answer"), ("fields", ("user", "question"), ("assistant", "answer"))),
 )
 
-#: Role names that mean a canonical one.
+#: Role names of nested layouts that mean a canonical one; rows of turns keep theirs.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -120,7 +120,7 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", layouts=LAYOUTS) ->
     if kind == "rows":
         turn, role, text = names
         return df.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-                         canonical_role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+                         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if kind == "list":
         path, role, text = names
         turns = F.transform(F.filter(F.col(path), lambda m: m.isNotNull()), renamed(role, text))
