@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteloom.operators import index as I
 
+BUCKET_BYTES = 64 * 1024 * 1024
 _POSTINGS_DDL = ("id string, language string, section string, kind string, field string, dl int, "
                  "term string, tf int")
 
@@ -17,10 +19,10 @@ def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> I.Se
     reads whole groups per task and needs no exchange.
     """
     spark = chunks.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = chunks.repartition("parent_id", (chunks["ord"] / 512).cast("int"))
     split.sortWithinPartitions("parent_id", "ord").write.mode("overwrite").parquet(f"{path}/chunks")
     stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
+    buckets = buckets or _bucket_count(stored)
     (I.postings(stored, buckets).write.mode("overwrite").format("parquet").bucketBy(buckets, "id")
      .option("path", f"{path}/postings").saveAsTable(_table(path)))
     posted = spark.table(_table(path))
@@ -30,6 +32,13 @@ def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> I.Se
     return load_index(spark, path, buckets)
 
 
+def _bucket_count(stored: DataFrame) -> int:
+    """A bucket is one task when it is read, so their number follows the text."""
+    size = stored.agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0))).first()[0]
+    least = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // BUCKET_BYTES))
+
+
 def load_index(spark: SparkSession, path: str, buckets: int) -> I.SearchIndex:
     """Read a written index, from any session."""
     if not spark.catalog.tableExists(_table(path)):

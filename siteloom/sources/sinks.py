@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.scale import lookup_join
+from siteloom.scale import lookup_join, path_exists
 
 # Container of each kind of record; anything else lands in docs.
 CONTAINERS = {"page": "pages", "image": "images", "doc": "docs", "snapshot": "snapshots"}
@@ -111,12 +111,9 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType,
                  before: int | None = None) -> DataFrame:
     """All batches of a batch table, or only those before one of them."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    try:
-        df = spark.read.schema(with_batch).option("basePath", path).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], with_batch)
+    df = spark.read.schema(with_batch).option("basePath", path).parquet(path)
     return df if before is None else df.filter(F.col("batch_id") < before)
 
 

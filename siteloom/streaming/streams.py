@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siteloom.operators import extract as X
 from siteloom.operators import incremental as N
 from siteloom.plans.index_build import index_rows
-from siteloom.scale import lookup_join
+from siteloom.scale import checkpointed, lookup_join
 from siteloom.schemas import CHUNKS
 from siteloom.sources import sinks
 
@@ -71,7 +71,7 @@ def stream_index_refresh(sources: DataFrame, table: str, checkpoint: str) -> Str
     def each(batch: DataFrame, batch_id: int) -> None:
         latest = sinks.upsert(batch.limit(0), batch, ["parent_id"], ["crawled_at", "content_hash"])
         known = read_index(batch, table, batch_id).select("parent_id", "content_hash").distinct()
-        changed = latest.join(known, ["parent_id", "content_hash"], "left_anti")
+        changed = checkpointed(latest.join(known, ["parent_id", "content_hash"], "left_anti"))
         rows = index_rows(changed)
         gone = changed.filter(F.coalesce("content", F.lit("")) == "").select("parent_id", "content_hash")
         marked = rows.unionByName(gone.withColumn("ord", F.lit(0)), allowMissingColumns=True)
