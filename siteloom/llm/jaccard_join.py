@@ -4,8 +4,9 @@ A text's set is its distinct word shingles (48-bit hashes; a text of fewer words
 shingle). Texts with the same set are one class, named by a 64-bit sum over the set.
 Two sets of Jaccard similarity ``t`` or more share a token among the first
 ``n - ceil(t * n) + 1`` tokens of both, under any one order of all tokens. The first order is
-used in a join (equal token, sizes within ``t``); the pair must also meet under the
-other orders before its whole sets are intersected. All orders put frequent tokens
+used in a join (equal token, sizes within ``t``, and places that leave room for the overlap such sizes
+need), and the prefixes must have as many tokens in common as such sizes need; the pair must also meet under
+the other orders before its whole sets are intersected. All orders put frequent tokens
 last, so prefixes are rare tokens; which tokens count as frequent changes the work, never
 the result. Orders differ in how tokens of like frequency are ranked.
 
@@ -32,13 +33,13 @@ from pyspark.sql import Window
 
 from siteloom.llm import kernel as K
 from siteloom.llm.components import components
-from siteloom.llm.tables import bitmap_of
+from siteloom.llm.tables import bitmap_of, discard, row_key
 from siteloom.scale import written
 
 SHINGLE = 5
 PERCENT = 80
 SALTS = 64
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: Statistics window, least count in it, and the number of most frequent tokens told to all tasks.
 WINDOW_TOKENS = 4_000_000
 FLOOR = 4
@@ -117,7 +118,7 @@ def firsts(size: np.ndarray, prefix: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_column: str, k: int) -> DataFrame:
-    """Per row: id, set size, node (null for an empty set), and in some rows counts of tokens that are
+    """Per row: id, row key, set size, node (null for an empty set), and in some rows counts of tokens that are
     frequent among the rows before it."""
     kind = df.schema[id_column].dataType.simpleString()
     heavy_type = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))
@@ -138,17 +139,18 @@ def signatures(df: DataFrame, id_column: str, k: int) -> DataFrame:
                 if total >= WINDOW_TOKENS:
                     heavy[-1], held, total = tally(held), [], 0
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(at, rows), pa.array(size.astype(np.int64)),
+                    batch.column("id").slice(at, rows), batch.column("row").slice(at, rows), pa.array(size.astype(np.int64)),
                     pa.array(K.as_long(node_ids(size, doc, token)), mask=size == 0), pa.array(heavy, type=heavy_type)],
-                    names=["id", "n", "node", "heavy"])
+                    names=["id", "row", "n", "node", "heavy"])
                 at += rows
         if total:
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(1).cast(batch.column("id").type), pa.array([-1], type=pa.int64()), pa.nulls(1, pa.int64()),
-                pa.array([tally(held)], type=heavy_type)], names=["id", "n", "node", "heavy"])
+                pa.nulls(1).cast(batch.column("id").type), pa.nulls(1, pa.string()), pa.array([-1], type=pa.int64()),
+                pa.nulls(1, pa.int64()), pa.array([tally(held)], type=heavy_type)], names=["id", "row", "n", "node", "heavy"])
 
-    return df.select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n bigint, node bigint, heavy array<struct<token:bigint,count:bigint>>")
+    rows = df.select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.select("id", row_key("id", "text").alias("row"), "text").mapInArrow(
+        run, f"id {kind}, row string, n bigint, node bigint, heavy array<struct<token:bigint,count:bigint>>")
 
 
 def postings(df: DataFrame, frequent: Frequent, k: int, percent: int) -> DataFrame:
@@ -160,13 +162,14 @@ def postings(df: DataFrame, frequent: Frequent, k: int, percent: int) -> DataFra
                 node = node_ids(size, doc, token)
                 prefix = np.where(seen.first(node), needed(size, percent), 0)
                 key = ordered(doc, token, frequent.rank(token), 0)[firsts(size, prefix)]
+                pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(unplaced(key, 0).astype(np.int64)), pa.array(np.repeat(K.as_long(node), prefix)),
-                    pa.array(np.repeat(size, prefix).astype(np.int32)),
-                    pa.array((key >> TOKEN_BITS & np.uint64(63)) > 0)], names=["token", "node", "n", "frequent"])
+                    pa.array(np.repeat(size, prefix).astype(np.int32)), pa.array(pos.astype(np.int32)),
+                    pa.array((key >> TOKEN_BITS & np.uint64(63)) > 0)], names=["token", "node", "n", "pos", "frequent"])
 
     return df.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "token bigint, node bigint, n int, frequent boolean")
+        run, "token bigint, node bigint, n int, pos int, frequent boolean")
 
 
 class Seen:
@@ -212,8 +215,32 @@ def sets_of(df: DataFrame, wanted: K.Bitmap, frequent: Frequent, k: int, percent
     return rows.groupBy("node").agg(F.first(F.struct("prefix", "tokens", "third")).alias("s")).select("node", "s.*")
 
 
-def sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+def may_meet(a: str, b: str, percent: int) -> Column:
+    """Whether a token of two prefixes can be the first that similar sets have in common: sizes ``n_*`` fit, and
+    from this place ``pos_*`` on both sets hold as many tokens as they must share."""
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    overlap = F.floor(((n_a + n_b) * percent + 99 + percent) / (100 + percent))
+    return ((n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+            & (F.col(f"pos_{a}") <= n_a - overlap) & (F.col(f"pos_{b}") <= n_b - overlap))
+
+
+def common_needed(percent: int) -> Column:
+    """Least number of tokens that similar sets of sizes n_a and n_b have in common within their prefixes: where the
+    prefix that ends first ends, at most the rest of its own set is still to come."""
+    overlap = F.floor(((F.col("n_a") + F.col("n_b")) * percent + 99 + percent) / (100 + percent))
+    rest = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1
+    return F.greatest(F.lit(1), overlap - F.greatest(rest("n_a"), rest("n_b")))
+
+
+def enough_in_common(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes have as many tokens in common as similar sets of their sizes must have. Tokens
+    that only one class has are in no list, so they are not sent."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lists = written(shared.join(ends, "node", "left_semi").groupBy("node").agg(
+        F.first("n").alias("n"), F.collect_set("token").alias("tokens")), "prefixes")
+    side = lambda x: lists.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= common_needed(percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,13 +255,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leaders(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One partner (b) for each class (a): the leader that most of its lists have in common with it. The leader of
-    a list is the first by a hash that changes with the round."""
-    first = Window.partitionBy("token", "chunk").orderBy(F.xxhash64("node", F.lit(turn)))
-    led = lists.select("node", "n", F.first("node").over(first).alias("leader"), F.first("n").over(first).alias("leader_n"))
-    votes = (led.filter(F.col("node") != F.col("leader")).filter(sizes_fit(F.col("n"), F.col("leader_n"), percent))
-             .groupBy("node", "leader").count())
-    return votes.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("count", "leader"))["leader"].alias("b"))
+    """At most one partner (b) for each class (a): the leader that most of its lists have in common with it. The
+    leader of a list is the class with most tokens in common with others, which stands in the middle of its
+    copies; equal ones are ranked by a hash that changes with the round."""
+    first = Window.partitionBy("token", "chunk").orderBy(F.desc("degree"), F.xxhash64("node", F.lit(turn)))
+    led = lists.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"),
+                       F.first(F.struct("node", "n", "pos")).over(first).alias("l"))
+    led = led.select("a", "n_a", "pos_a", F.col("l.node").alias("b"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b"))
+    votes = (led.filter("a <> b").groupBy("a", "n_a", "b", "n_b")
+             .agg(F.count(F.lit(1)).alias("count"), F.max(may_meet("a", "b", percent)).alias("meet"))
+             .filter(F.col("meet") & (F.col("count") >= common_needed(percent))))
+    return votes.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b"))
 
 
 def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -247,49 +278,57 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_components(documents: DataFrame, doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id of the component) and class_id (least id of the same set)."""
+    """Per row: id, row key, n_shingles, component_id (least id of the component), class_id (least id of the same
+    set) and component (a number that names it; null for an empty set)."""
     rows = written(signatures(documents, doc_id, k), "signatures")
     top = (rows.select(F.explode("heavy").alias("h")).groupBy("h.token").agg(F.sum("h.count").alias("count"))
            .orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas())
     frequent = Frequent(top["token"].to_numpy(), top["count"].to_numpy())
-    docs = rows.filter("n >= 0").select("id", "n", "node")
+    docs = rows.filter("n >= 0").select("id", "row", "n", "node")
     classes = docs.filter("n > 0").groupBy("node").agg(F.min("id").alias("class_id"))
 
     dealt = postings(documents, frequent, k, percent).withColumn(
         "chunk", F.when(F.col("frequent"), F.pmod("node", F.lit(SALTS))).otherwise(0).cast("int"))
     by_token = Window.partitionBy("token", "chunk").orderBy("node")
     whole = by_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = written(dealt.select("token", "chunk", "node", "n", "frequent", F.lag("node").over(by_token).alias("before"),
+    shared = written(dealt.select("token", "chunk", "node", "n", "pos", "frequent", F.lag("node").over(by_token).alias("before"),
                                   F.first("node").over(whole).alias("low"), F.last("node").over(whole).alias("high"))
                      .filter("(before is null or before <> node) and (frequent or low <> high)")
-                     .select("token", "chunk", "node", "n"), "shared")
-    sets = written(sets_of(documents, bitmap_of(shared.select("node").distinct(), "node"), frequent, k, percent), "sets")
+                     .select("token", "chunk", "node", "n", "pos"), "shared")
+    plain = shared
+    shared = written(plain.join(plain.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node"), "ranked")
+    discard(plain)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        ends = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+        sets = written(sets_of(documents, ends, frequent, k, percent), "sets")
+        links = written(verified(pairs, sets, percent), "links")
+        discard(sets)
+        return links
 
     groups = written(shared.select("node", F.col("node").alias("root")).distinct(), "groups")
     lists = shared
     for turn in range(LEADER_ROUNDS):
-        pairs = written(leaders(lists, turn, percent), "pairs")
-        links = written(verified(pairs, sets, percent), "links")
-        if links.isEmpty():
-            break
-        groups = merged(groups, links)
-        lists = (shared.join(groups, "node").groupBy("token", "root").agg(F.min(F.struct("node", "n")).alias("m"))
-                 .select("token", F.lit(0).alias("chunk"), "m.node", "m.n"))
+        groups = merged(groups, linked(leaders(lists, turn, percent)))
+        lists = (shared.join(groups, "node").groupBy("token", "root").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("m"))
+                 .select("token", F.lit(0).alias("chunk"), "m.*"))
 
-    placed = shared.select("token", "node", "n").join(groups, "node")
+    placed = shared.select("token", "node", "n", "pos").join(groups, "node")
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     open_ = written(placed.join(mixed.select("token"), "token", "left_semi"), "open")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "ab")
-    across = (x.join(y, "token").filter("node_a < node_b and root_a <> root_b")
-              .filter(sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+    side = lambda s: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root")])
+    x, y = side("a").alias("x"), side("b").alias("y")
+    across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("node_a") < F.col("node_b"))
+                     & (F.col("root_a") != F.col("root_b")) & may_meet("a", "b", percent))
               .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    links = written(verified(written(across, "pairs"), sets, percent), "links")
-    groups = merged(groups, links)
+    groups = merged(groups, linked(enough_in_common(written(across, "across"), shared, percent)))
 
     named = groups.join(classes, "node").groupBy("root").agg(F.min("class_id").alias("component_id"))
-    member = groups.join(named, "root").select("node", "component_id")
-    known = classes.join(member, "node", "left").select("node", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
-    return docs.join(known, "node", "left").select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"),
+    member = groups.join(named, "root").select("node", "root", "component_id")
+    known = classes.join(member, "node", "left").select("node", "class_id", F.coalesce("root", "node").alias("component"),
+                                                        F.coalesce("component_id", "class_id").alias("component_id"))
+    return docs.join(written(known, "known"), "node", "left").select(
+        F.col("id").alias(doc_id), "row", F.col("n").alias("n_shingles"), "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))

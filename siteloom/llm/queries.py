@@ -20,6 +20,7 @@ from siteloom.llm import (
     url_filter,
     warc,
 )
+from siteloom.llm.sql import STATEMENTS
 from siteloom.llm.tables import table
 from siteloom.scale import scratch_path
 
@@ -85,7 +86,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -101,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(STATEMENTS)

@@ -11,6 +11,14 @@ from siteloom.llm.kernel import Bitmap
 BITMAP_BYTES = 4 << 20
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a written intermediate that no later step reads."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
