@@ -5,7 +5,6 @@ import posixpath
 from urllib.parse import quote, unquote, urljoin, urlparse
 
 import pytest
-from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
