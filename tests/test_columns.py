@@ -9,8 +9,8 @@ import pytest
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
 
-# Stem and extension of the stored name of each URL, worked out by hand but for the digest
-# (the first ten hex digits of the URL's SHA-256).
+# Stem and extension of the stored name of each URL, as literals read over by hand; the stem
+# ends in the first ten hex digits of the URL's SHA-256.
 NAMES = {
     "https://a.b": ("index-065644baa7", ""),
     "https://a.b/": ("index-3af5cf0a4c", ""),
