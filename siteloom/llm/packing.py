@@ -44,8 +44,7 @@ TOKENIZER = "word_bpe_49k.json"
 SPREAD = 64
 STEP = 16
 ROUNDS = 400
-KNOWN = 1_500_000
-GROUP_BYTES = 4 << 20
+KNOWN = 800_000
 
 LETTER, DIGIT, OTHER, FOREIGN = 1, 2, 3, 4
 CLASS = np.full(256, FOREIGN, dtype=np.uint8)
@@ -73,11 +72,10 @@ class Tokens:
         begin = len(self.ids) + np.cumsum(size) - size
         flat = np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(size.sum()))
         self.ids = np.concatenate([self.ids, flat])
-        merged = np.concatenate([self.hashes, hashes])
-        order = np.argsort(merged)
-        self.hashes = merged[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.begin = np.insert(self.begin, place, begin)
+        self.size = np.insert(self.size, place, size)
 
     def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids of each piece in ``self.ids``."""
@@ -136,7 +134,7 @@ def hashes_of(data: np.ndarray, pieces: K.Words) -> np.ndarray:
 
 def token_ids(texts: pa.Array, tokens: Tokens) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each group of texts: how many, ids without end id, and where each text's ids begin (one more entry)."""
-    for lo, hi, data, offsets in K.groups(texts, GROUP_BYTES, 4000):
+    for lo, hi, data, offsets in K.groups(texts):
         pieces = pieces_of(data, offsets)
         if not len(pieces.start):
             yield hi - lo, np.zeros(0, dtype=np.uint32), np.zeros(hi - lo + 1, dtype=np.int64)
