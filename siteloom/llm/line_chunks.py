@@ -114,7 +114,7 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "start")
     first = (found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .filter(F.col("first") != F.col("last")).select("hash", "bytes", "first"))
-    later = (found.join(first, ["hash", "bytes"])
+    later = (found.join(written(first, "first"), ["hash", "bytes"])
              .filter(~((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start")))))
     return later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "lines"))).alias("spans"))
 
