@@ -1,15 +1,17 @@
-"""Removal of text chunks that repeat across a corpus, with content-defined boundaries.
+"""Removal of line runs that repeat across a corpus, found by content-defined chunks.
 
-A text is cut into chunks of lines. A boundary follows a line where a hash of the last
-``ROLL`` line hashes falls into one of ``DIVISOR`` classes, so it depends on the lines around
-it and not on where they stand: a passage moved into another document is cut alike, but for
-its edges. A line of ``MIN_WORDS`` words or more is a chunk of its own, so that long lines
-have no edges to lose. Chunks of fewer than ``MIN_WORDS`` words are never removed.
+A chunk is a shortest run of whole lines with ``MIN_WORDS`` words: from every line onwards, and from
+every line back. Chunks overlap, and which lines are one depends on nothing outside it. So each line
+of a repeated run of ``MIN_WORDS`` words or more lies in a chunk that is inside the run and repeats
+with it, whatever the length of its lines and whatever stands around it; the run goes as a whole.
+A shorter run has no chunk and is never removed.
 
 Hashes that occur more than once are found first, by a map-side count; only the texts of such
 chunks are shuffled, and chunks count as repeated when their bytes are equal. The first
 occurrence (by id, then row, then place) stays and all others are cut out with the line breaks
-that follow them. Occurrences are never gathered: they are counted, and joined to the first.
+that follow them; cuts that overlap or touch are one. A line that goes has an equal one before it that
+stays; of lines that go on repeating themselves one period stays. Occurrences are never gathered:
+they are counted, and joined to the first.
 
 Null and empty texts have no chunks and stay as they are. Rows equal in id and text are one document
 and get the same result; null ids come last. Other columns are kept, whatever their names.
@@ -28,49 +30,41 @@ from siteloom.llm import kernel as K
 from siteloom.llm.tables import bitmap_of, row_key
 from siteloom.scale import lookup_join, written
 
-ROLL = 2
-DIVISOR = 2
 MIN_WORDS = 16
 
 LINE = np.ones(256, dtype=bool)
 LINE[10] = False
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, divisor: int = DIVISOR) -> dict[str, np.ndarray]:
-    """The chunks of a group of texts that have ``min_words`` words: text number, first byte, end of
-    the last line, start of the line after it (or end of the text), lines and hash."""
+def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
+    """The chunks of a group of texts, by first and last line: text number, first byte, end of the last
+    line, start of the line after it (or end of the text), number of the first line, lines and hash."""
     lines = K.words_of(data, offsets, LINE, lower=False)
     n = len(lines.start)
     if not n:
-        return {k: np.zeros(0, dtype=np.int64) for k in ("doc", "start", "end", "stop", "lines", "hash")}
+        return {k: np.zeros(0, dtype=np.int64) for k in ("doc", "start", "end", "stop", "line", "lines", "hash")}
     inside = K.NOT_SPACE[data]
     begins = inside & ~np.concatenate([[False], inside[:-1]])
     begins[offsets[:-1][offsets[:-1] < len(data)]] |= inside[offsets[:-1][offsets[:-1] < len(data)]]
     total = np.concatenate([[0], np.cumsum(begins)])
-    words = total[lines.end] - total[lines.start]
-    own = words >= min_words
-
-    rolled = lines.hash.copy()
-    for j in range(1, ROLL):
-        before = np.concatenate([np.zeros(j, dtype=np.uint64), lines.hash[:-j]])
-        same = np.concatenate([np.zeros(j, dtype=bool), lines.doc[j:] == lines.doc[:-j]])
-        rolled += np.where(same, before, np.uint64(0)) * K.GRAM * np.uint64(j)
-    ends = (K.mix(rolled) % np.uint64(divisor) == 0) | own
-    ends[:-1] |= own[1:] | (lines.doc[1:] != lines.doc[:-1])
-    ends[-1] = True
-
-    last = np.flatnonzero(ends)
-    first = np.concatenate([[0], last[:-1] + 1])
-    upto = np.concatenate([[0], np.cumsum(words)])
-    place = (np.arange(n) - np.repeat(first, last - first + 1)).astype(np.uint64)
-    mixed = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(K.mix(lines.hash + place * K.GRAM), dtype=np.uint64)])
+    upto = np.concatenate([[0], np.cumsum(total[lines.end] - total[lines.start])])
+
+    number = np.arange(n)
+    onwards = np.searchsorted(upto, upto[:-1] + min_words) - 1
+    back = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    first, last = np.concatenate([number, back]), np.concatenate([onwards, number])
+    whole = (first >= 0) & (last < n)
+    whole[whole] = lines.doc[first[whole]] == lines.doc[last[whole]]
+    first, last = np.divmod(np.unique(first[whole] * n + last[whole]), n)
+
+    up, down = K._power(n + 1)
+    mixed = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(lines.hash * up[:-1], dtype=np.uint64)])
+    hashed = K.mix((mixed[last + 1] - mixed[first]) * down[first] + (last - first + 1).astype(np.uint64) * K.GRAM)
     after = np.append(lines.start[1:], 0)
     final = np.append(lines.doc[1:] != lines.doc[:-1], True)
     after[final] = offsets[lines.doc[final] + 1]
-    keep = upto[last + 1] - upto[first] >= min_words
-    first, last = first[keep], last[keep]
     return {"doc": lines.doc[first], "start": lines.start[first], "end": lines.end[last], "stop": after[last],
-            "lines": last - first + 1, "hash": K.mix(mixed[last + 1] - mixed[first])}
+            "line": first - np.searchsorted(lines.doc, lines.doc[first]), "lines": last - first + 1, "hash": hashed}
 
 
 def hash_counts(df: DataFrame) -> DataFrame:
@@ -97,14 +91,33 @@ def occurrences(df: DataFrame, id_column: str, repeated: K.Bitmap) -> DataFrame:
                 raw, at = data.tobytes(), pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").take(at), batch.column("row").take(at), pa.array(start - offsets[doc]),
-                    pa.array(c["stop"][take] - offsets[doc]), pa.array(c["lines"][take]),
+                    pa.array(c["stop"][take] - offsets[doc]), pa.array(c["line"][take]), pa.array(c["lines"][take]),
                     pa.array(K.as_long(c["hash"][take].astype(np.uint64))),
                     pa.array([raw[a:b] for a, b in zip(start, end, strict=True)], type=pa.binary())],
-                    names=["id", "row", "start", "stop", "lines", "hash", "bytes"])
+                    names=["id", "row", "start", "stop", "line", "lines", "hash", "bytes"])
 
     rows = df.select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text"))
     return rows.select("id", row_key("id", "text").alias("row"), "text").mapInArrow(
-        run, f"id {kind}, row string, start bigint, stop bigint, lines bigint, hash bigint, bytes binary")
+        run, f"id {kind}, row string, start bigint, stop bigint, line bigint, lines bigint, hash bigint, bytes binary")
+
+
+def joined(found: DataFrame) -> DataFrame:
+    """Sorted chunks of a row (none within another) as the runs they cover: those that overlap or touch are one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("spans")
+            flat = column.flatten()
+            start, stop, line, lines = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "stop", "line", "lines"))
+            row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            new = np.ones(len(row) + 1, dtype=bool)
+            new[1:-1] = (row[1:] != row[:-1]) | (start[1:] > stop[:-1])
+            first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+            runs = pa.StructArray.from_arrays(
+                [pa.array(start[first]), pa.array(stop[last]), pa.array(line[last] + lines[last] - line[first])], ["start", "stop", "lines"])
+            offsets = np.searchsorted(row[first], np.arange(len(column) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["row", "spans"])
+
+    return found.mapInArrow(run, "row string, spans array<struct<start:bigint,stop:bigint,lines:bigint>>")
 
 
 def repeated_spans(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -116,11 +129,11 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
              .filter(F.col("first") != F.col("last")).select("hash", "bytes", "first"))
     later = (found.join(written(first, "first"), ["hash", "bytes"])
              .filter(~((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start")))))
-    return later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "lines"))).alias("spans"))
+    return joined(later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "line", "lines"))).alias("spans")))
 
 
 def deduplicated(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Every row as ``doc``, its ``text`` without repeated chunks, and the spans cut (empty: none)."""
+    """Every row as ``doc``, its ``text`` without repeated runs, and the spans cut (empty: none)."""
     spans = written(repeated_spans(documents, doc_id), "spans")
     rows = documents.select(F.struct("*").alias("doc"), row_key(doc_id, "text").alias("row"))
     text = F.col("doc.text")

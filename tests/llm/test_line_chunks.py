@@ -111,3 +111,22 @@ def test_long_text_in_one_group():
     text = "a b\n" * 400_000
     for _, _, data, offsets in K.groups(pa.array([text])):
         assert np.all(np.diff(L.chunks(data, offsets)["start"]) > 0)
+
+
+def test_whole_passages_of_short_lines_go(spark):
+    """Passages of 51 to 60 words in lines of 3 to 15 words, between lines of 8 words of their own."""
+    rng = random.Random(5)
+    documents, expected = [], {}
+    for i in range(130):
+        size, left, passage = 3 + i % 13, rng.randrange(51, 61), []
+        while left:
+            passage.append(line(rng, min(size, left)))
+            left -= min(size, left)
+        for j in (2 * i, 2 * i + 1):
+            above, below = ([line(rng, 8) for _ in range(4)] for _ in range(2))
+            documents.append((j, "\n".join(above + passage + below)))
+            expected[documents[-1]] = "\n".join(above + below) if j % 2 else documents[-1][1]
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    assert ours(df) == expected
+    removed = L.deduplicated(df).filter("doc.doc_id % 2 = 1").selectExpr("size(spans) n", "spans[0].lines k", "doc.text was", "text").collect()
+    assert all(r["n"] == 1 and r["k"] == r["was"].count("\n") - r["text"].count("\n") for r in removed)
