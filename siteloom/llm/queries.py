@@ -82,7 +82,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.MODEL))
+    documents, path = table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.MODEL)
+    return token_counts.counted(documents, path, scores=token_counts.fitted(documents, path))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
