@@ -205,3 +205,20 @@ def knn_approx(queries: DataFrame, placed: DataFrame, centres: np.ndarray, probe
     probing = nearest_cells(queries.filter("vector is not null"), centres, probes)
     used = [r[0] for r in probing.select(F.explode("cells").alias("c")).distinct().collect()]
     return knn(probing, placed.filter(F.col("cell").isin(used)), k)
+
+
+def recalls(asked: DataFrame, placed: DataFrame, centres: np.ndarray, k: int = 50) -> list[float]:
+    """Share of the exact neighbours of ``asked`` that lie in the nearest 1, 2, ... cells; just these
+    neighbours are found by ``knn_approx`` with so many probes."""
+    order = nearest_cells(asked.filter("vector is not null"), centres, len(centres)).select("qid", "cells")
+    exact = knn(asked, placed.drop("cell"), k).select("qid", "id").join(placed.select("id", "cell"), "id").join(order, "qid")
+    found = exact.groupBy(F.array_position("cells", F.col("cell")).alias("at")).count().collect()
+    share = np.zeros(len(centres))
+    for at, n in found:
+        share[at - 1] += n
+    return (np.cumsum(share) / max(share.sum(), 1)).tolist()
+
+
+def probes_for(asked: DataFrame, placed: DataFrame, centres: np.ndarray, recall: float = 0.9, k: int = 50) -> int:
+    """Fewest probes that find ``recall`` of the exact neighbours of a sample of queries."""
+    return next((i + 1 for i, r in enumerate(recalls(asked, placed, centres, k)) if r >= recall), len(centres))

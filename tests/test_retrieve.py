@@ -168,3 +168,18 @@ def test_lexical_second_stage(spark):
     found = {r.id: r for r in R.rerank(rows, terms).collect()}
     assert found["a"].caption == "The cat sat." and found["a"].reranker == pytest.approx(2.0 + 1.2 * 0.75 + 0.8 * 0.75)
     assert found["b"].reranker is None and found["c"].reranker == 0.0
+
+
+def test_probes_follow_measured_recall_on_the_given_vectors(spark, tmp_path):
+    """Every vector of the smallest table asks for 10 neighbours."""
+    stored = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    centres = V.chosen_centres(stored, 20)
+    placed, asked = V.write_cells(stored.drop("qid"), centres, str(tmp_path / "cells")), stored.drop("id")
+    exact = {(r.qid, r.id) for r in V.knn(asked, stored.drop("qid"), 10).collect()}
+    measured, probes = V.recalls(asked, placed, centres, 10), V.probes_for(asked, placed, centres, 0.9, 10)
+    print("recall@10 by probes", [round(r, 3) for r in measured], "for 0.9:", probes)
+    for p in (6, probes - 1, probes):
+        found = {(r.qid, r.id) for r in V.knn_approx(asked, placed, centres, p, 10).collect()}
+        assert measured[p - 1] == pytest.approx(len(exact & found) / len(exact))
+    assert measured[probes - 2] < 0.9 <= measured[probes - 1] and measured[-1] == 1.0
