@@ -120,15 +120,17 @@ def score_of(model) -> Column:
 
 
 def train(rows: DataFrame, blocked: str, sample: int = SAMPLE) -> Column:
-    """Score expression from at most ``sample`` rows whose ``blocked`` (0 or 1) is known, in hash order."""
+    """Score expression from at most ``sample`` distinct pairs of URL and known ``blocked`` (0 or 1), in hash
+    order, each weighted by how often it occurs."""
     known = (rows.filter(F.col(blocked).isNotNull()).select("_url", F.col(blocked).cast("double").alias("label"), *FEATURES)
+             .groupBy("_url", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
              .orderBy(F.xxhash64("_url"), "_url", "label").limit(sample))
     known = written(known.coalesce(1), "labelled")
     if known.select("label").distinct().count() < 2:
         return F.lit(0.0)
-    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, checkpointInterval=-1)
+    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, checkpointInterval=-1, weightCol="weight")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
-    return score_of(learner.fit(vectors.select("features", "label")))
+    return score_of(learner.fit(vectors.select("features", "label", "weight")))
 
 
 def judged(df: DataFrame, labelled: Column | None = None, rules: tuple[Rule, ...] = RULES, url: str = "url",

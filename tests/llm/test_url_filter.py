@@ -72,3 +72,14 @@ def test_without_labels_of_both_kinds(spark, urls):
 def test_plan_is_native(spark):
     plan = queries.QUERIES["op4_url_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_url_repeated_does_not_fill_the_sample(spark):
+    rows = [(f"http://x-win-{i}.example.com/{i}/{i}?a={i}" if i % 2 else f"https://news.example.com/story-{'ab' * (i % 7)}{i}", float(i % 2))
+            for i in range(80)]
+    df = spark.createDataFrame(rows, "url string, known double")
+    lowest = df.orderBy(F.xxhash64("url")).first()
+    df = df.union(spark.createDataFrame([tuple(lowest)] * 200, df.schema))
+    got = U.judged(df, labelled=F.col("_row.known"), rules=(), sample=100).select("_row.known", "score").collect()
+    assert len({r["score"] for r in got}) > 1
+    assert all((r["score"] > 0) == (r["known"] == 1) for r in got)
