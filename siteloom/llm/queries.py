@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from siteloom.llm import (
     chat_format,
     decontaminate,
+    hard_negatives,
     jaccard_join,
     license_scan,
     line_chunks,
     packing,
     quality_rules,
+    quality_trees,
+    token_align,
     token_counts,
     url_filter,
     warc,
@@ -91,6 +94,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found, _ = token_align.aligned(documents, public_tokenizers.path(token_align.MODEL_A), public_tokenizers.path(token_align.MODEL_B))
+    return found
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", hard_negatives.scaled(F.col("embedding")).alias("vector"), moved.alias("label"))
+    return hard_negatives.mined(vectors, F.col("id") % 50 == 0)
+
+
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_trees.scored(documents, quality_trees.train(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -102,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_align": op11_token_align,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_trees": op13_quality_trees,
 }
 
 SQL: dict[str, str] = dict(STATEMENTS)

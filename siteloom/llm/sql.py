@@ -58,4 +58,18 @@ COMPONENTS = f"""WITH RECURSIVE docs AS (SELECT doc_id, {PLAIN_WORDS.format("coa
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(class_id, d.doc_id) AS class_id
 FROM docs d LEFT JOIN classes USING (doc_id) LEFT JOIN roots USING (class_id)"""
 
-STATEMENTS = {"op1_chat_format": CHAT, "op2_decontaminate": CONTAMINATION, "op3_warc": ARCHIVE, "op10_jaccard_join": COMPONENTS}
+NEGATIVES = """WITH whole AS MATERIALIZED (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scores AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM whole a, whole r WHERE a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+  positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+STATEMENTS = {"op1_chat_format": CHAT, "op2_decontaminate": CONTAMINATION, "op3_warc": ARCHIVE, "op10_jaccard_join": COMPONENTS,
+              "op12_hard_negatives": NEGATIVES}
