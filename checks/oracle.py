@@ -236,6 +236,10 @@ RESULTS["scan_by_extension"] = r"""SELECT container, name FROM names WHERE
     (container = 'pages' AND regexp_matches(name, '(?i)[^/.][^/]*\.md$'))
     OR (container = 'docs' AND regexp_matches(name, '(?i)[^/.][^/]*\.pdf$'))
     OR (container = 'images' AND regexp_matches(name, '(?i)[^/.][^/]*\.(png|jpe?g|bmp|tiff|gif)$'))"""
+PARTS["restored"] = f"""SELECT container, name, data FROM bundle WHERE regexp_matches(name, '(?i)[^/.][^/]*\\.md$')
+    UNION ALL SELECT kind || 's', name, CASE WHEN language = 'en' THEN url ELSE body END FROM binaries
+      WHERE kind <> 'snapshot' AND regexp_matches(name, '(?i)[^/.][^/]*\\.(pdf|png|jpe?g|bmp|tiff|gif)$')"""
+RESULTS["artifact_store"] = "SELECT container, name, strlen(data) AS n_bytes, sha256(data) AS data_hash FROM restored"
 RESULTS["sink_upsert"] = """SELECT container, name, content_hash, modified_at FROM (
     SELECT *, row_number() OVER (PARTITION BY container, name ORDER BY src DESC, modified_at DESC) AS n FROM (
       SELECT container, name, content_hash, modified_at, 0 AS src FROM manifest
@@ -293,7 +297,7 @@ PARTS["assets"] = f"""SELECT source_page, asset_url, 'image' AS kind FROM img WH
     UNION ALL SELECT source_page, asset_url, 'doc' FROM doc WHERE {_is_asset(DOC_EXTENSIONS)}"""
 RESULTS["asset_filter"] = "SELECT source_page, asset_url, kind FROM assets"
 RESULTS["asset_dedup"] = "SELECT asset_url, kind, min(source_page) AS source_page FROM assets GROUP BY ALL"
-RESULTS["stream_asset_dedup"] = "SELECT DISTINCT asset_url FROM assets"
+RESULTS["stream_asset_dedup"] = RESULTS["stream_unique_assets"] = "SELECT DISTINCT asset_url FROM assets"
 RESULTS["rendered_image_union"] = f"""SELECT asset_url, min(source_page) AS source_page FROM (
     SELECT source_page, asset_url FROM img
     UNION ALL SELECT url, 'https://cdn.example.com/r/' || section || '.png' FROM pg)
@@ -499,7 +503,7 @@ PARTS["near_cells"] = """SELECT vec_id, cell, row_number() OVER (PARTITION BY ve
       ORDER BY list_dot_product(c, c) - 2 * list_dot_product(v, c), cell) AS r FROM unit CROSS JOIN centres"""
 RESULTS["knn_approx"] = """SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INTEGER AS rank
     FROM (SELECT a.vec_id AS qid, b.vec_id::VARCHAR AS id, round(list_dot_product(x.v, y.v), 6) AS score
-      FROM near_cells a JOIN near_cells b ON a.cell = b.cell AND a.r <= 6 AND b.r = 1
+      FROM near_cells a JOIN near_cells b ON a.cell = b.cell AND a.r <= 15 AND b.r = 1
       JOIN unit x ON x.vec_id = a.vec_id JOIN unit y ON y.vec_id = b.vec_id) QUALIFY rank <= 10"""
 RESULTS["knn_exact"] = "SELECT qid, id, score, rank::INTEGER AS rank FROM near"
 PARTS["fused"] = """SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (

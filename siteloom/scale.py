@@ -31,12 +31,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path is there, in whatever file system it names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder, so that later jobs neither
     recompute the lineage nor lose it with an executor."""

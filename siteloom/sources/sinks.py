@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.scale import lookup_join, path_exists
+from siteloom.scale import checkpointed, lookup_join
+from siteloom.schemas import ARTIFACTS, CHUNKS
+from siteloom.sources.versioned import BUCKETS, State, VersionedTable
 
 # Container of each kind of record; anything else lands in docs.
 CONTAINERS = {"page": "pages", "image": "images", "doc": "docs", "snapshot": "snapshots"}
@@ -81,15 +82,27 @@ def binary_artifact(assets: DataFrame) -> DataFrame:
             contenthash=F.col("content_hash"), kind=U.percent_encode("kind")).alias("metadata"))
 
 
+def latest(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is last in ``order``, by map-side aggregation."""
+    rest = [c for c in updates.columns if c not in keys]
+    return updates.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write wins per key: the update latest in ``order`` replaces the
-    stored row. Only the updates are aggregated (with map-side combine); stored
+    stored row. Only the updates are aggregated (once, with map-side combine); stored
     rows are dropped by key and never sorted."""
-    rest = [c for c in updates.columns if c not in keys]
-    latest = updates.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
-    kept = lookup_join(target, latest.select(*keys), keys, "left_anti")
-    return kept.unionByName(latest)
+    new = checkpointed(latest(updates, keys, order))
+    kept = lookup_join(target, new.select(*keys), keys, "left_anti")
+    return kept.unionByName(new)
+
+
+def upsert_stored(table: VersionedTable, updates: DataFrame, order: list[str],
+                  mark: tuple[str, int] | None = None) -> State:
+    """The same into a stored table: the winning updates become its newest rows, in the
+    buckets they fall into; nothing that is stored is read."""
+    return table.write(latest(updates, table.key, order), mark)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -100,34 +113,28 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
-# A batch table is a folder of batch_id=N parts. A replayed batch overwrites its
-# own part, so writing it twice changes nothing.
-
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+def index_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> VersionedTable:
+    """The stored chunk rows of an index: parents are replaced whole."""
+    return VersionedTable(spark, path, CHUNKS, ["parent_id"], buckets=buckets)
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType,
-                 before: int | None = None) -> DataFrame:
-    """All batches of a batch table, or only those before one of them."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], with_batch)
-    df = spark.read.schema(with_batch).option("basePath", path).parquet(path)
-    return df if before is None else df.filter(F.col("batch_id") < before)
+def write_index(chunks: DataFrame, table: VersionedTable, mark: tuple[str, int] | None = None) -> State:
+    """Chunk rows of a run; the chunks of a parent lie together (a huge parent is split over
+    several files) and replace all it had."""
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name not in chunks.columns]
+    return table.write(chunks.select("*", *missing), mark, spread=(F.floor(F.col("ord") / 512),))
 
 
-def latest_rows(batches: DataFrame, key: str) -> DataFrame:
-    """Rows of each key's last batch. Keys written once, the normal case, are
-    not touched: only the (key, batch) pairs that were replaced are dropped."""
-    pairs = batches.select(key, "batch_id").distinct()
-    last = pairs.groupBy(key).agg(F.max("batch_id").alias("_last"), F.count("*").alias("_n"))
-    replaced = pairs.join(last.filter("_n > 1"), key).filter("batch_id < _last").select(key, "batch_id")
-    return batches.join(replaced, [key, "batch_id"], "left_anti")
+def artifact_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> VersionedTable:
+    """Stored artifacts by (container, name), a partition for each container: the last write of a name
+    wins, and scanning one container opens no file of the others."""
+    return VersionedTable(spark, path, ARTIFACTS, ["container", "name"], by=("container",), buckets=buckets)
 
 
-def write_index(chunks: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Chunk rows of a run, clustered by parent (a huge parent is split over
-    several files); a later batch replaces whole parents on read."""
-    clustered = chunks.repartition("parent_id", F.floor(F.col("ord") / 512)).sortWithinPartitions("parent_id", "ord")
-    write_batch(clustered, path, batch_id)
+def stored_manifest(store: VersionedTable, modified_at: Column) -> DataFrame:
+    """What a store holds, as a manifest; the artifacts' data is not read."""
+    page = F.col("container") == "pages"
+    return store.read().select(
+        "container", "name", F.when(page, F.regexp_replace("name", r"\.(html|md|json)$", "")).alias("base_name"),
+        F.try_element_at("metadata", F.lit("contenthash")).alias("content_hash"),
+        modified_at.alias("modified_at"), F.lit(None).cast("timestamp").alias("deleted_at"))

@@ -143,15 +143,14 @@ def file_stream(spark, df, files):
 @pytest.mark.parametrize("files", [1, 4])
 def test_streams_give_the_batch_result(spark, responses, files):
     pages = responses.filter("url <> ''")
-    table, state = scratch_path(spark, "t"), scratch_path(spark, "s")
+    table, state = streams.changed_table(spark, scratch_path(spark, "t"), buckets=2), scratch_path(spark, "s")
     streams.stream_changed_pages(file_stream(spark, pages, files), table, state)
-    found = sinks.read_batches(spark, table, streams.STORED_SCHEMA)
-    assert {r.url for r in found.collect()} == {r.url for r in N.changed_pages(pages, None).collect()}
+    assert {r.url for r in streams.read_changed(table).collect()} == {r.url for r in N.changed_pages(pages, None).collect()}
 
     refs = spark.createDataFrame([(f"a{i % 3}", f"p{i}") for i in range(30)], "asset_url string, source_page string")
-    table, state = scratch_path(spark, "t"), scratch_path(spark, "s")
+    table, state = streams.asset_table(spark, scratch_path(spark, "t"), buckets=2), scratch_path(spark, "s")
     streams.stream_asset_dedup(file_stream(spark, refs, files), table, state)
-    assert sorted(r.asset_url for r in sinks.read_batches(spark, table, streams.ASSET_SCHEMA).collect()) == ["a0", "a1", "a2"]
+    assert sorted(r.asset_url for r in table.read().collect()) == ["a0", "a1", "a2"]
 
 
 def sources(spark, rows):
@@ -166,11 +165,12 @@ def sources(spark, rows):
 def test_index_refresh_replaces_whole_parents(spark):
     first = sources(spark, [("a", "x " * 2500, 0), ("b", "keep", 0), ("c", "will vanish", 0)])
     second = sources(spark, [("a", "short", 1), ("c", "", 1), ("b", "keep", 1)])
-    path, table, state = (scratch_path(spark, n) for n in ("in", "t", "s"))
+    path, at, state = (scratch_path(spark, n) for n in ("in", "t", "s"))
+    table = sinks.index_table(spark, at, buckets=2)
     for batch in (first, second, second):
         batch.write.mode("append").parquet(path)
         streams.stream_index_refresh(spark.readStream.schema(first.schema).parquet(path), table, state)
-    rows = streams.read_index(spark.range(0), table).filter("chunk is not null").collect()
+    rows = streams.read_index(table).collect()
     assert {(r.id, r.chunk) for r in rows} == {("a_0", "short"), ("b_0", "keep")}
 
 
