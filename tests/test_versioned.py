@@ -128,7 +128,7 @@ def test_artifacts_are_read_by_container(spark):
     assert [(r["name"], bytes(r["data"])) for r in scan.collect()] == [("i.png", b"4")]
     at = dt.datetime(2024, 1, 1)
     manifest = sinks.stored_manifest(store, F.lit(at))
-    assert "data:" not in manifest._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split(">")[0]
+    assert "data:binary" not in manifest._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split(">")[0]
     assert sorted((r["name"], r["base_name"], r["content_hash"]) for r in manifest.collect()) == [
         ("d.pdf", None, "3"), ("i.png", None, "4"), ("p.html", "p", "1"), ("p.md", "p", "1")]
 
