@@ -65,6 +65,34 @@ def pages_with_assets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", "url", F.concat("html", tags).alias("html"))
 
 
+def site_pages(spark: SparkSession, sf: str, moved: bool = False) -> DataFrame:
+    """Those pages as responses; ``moved``: pages with a query string have changed."""
+    html = F.when(F.contains("url", F.lit("?")), F.concat("html", F.lit("<p>moved</p>"))).otherwise(F.col("html")) if moved else F.col("html")
+    return pages_with_assets(spark, sf).select(
+        "url", F.lit("text/html; charset=utf-8").alias("content_type"), html.alias("html"),
+        F.lit(None).cast("binary").alias("body"), minutes("page_id").alias("fetched_at"))
+
+
+def site_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses for the files those pages link on their own site."""
+    site = F.regexp_extract("url", "^[^/]*//[^/?#]*", 0)
+
+    def file(folder: str, name: Column, ending: str, content_type: str) -> Column:
+        return F.struct(F.concat(site, F.lit(folder), name, F.lit(ending)).alias("url"), F.lit(content_type).alias("content_type"))
+
+    files = table(spark, sf, "pages").select(F.explode(F.array(
+        file("/img/", U.language_from_url("url"), ".png", "image/png"),
+        file("/s/", F.col("page_id").cast("string"), ".webp", "image/webp"),
+        file("/d/", U.section_from_url("url"), ".pdf", "application/pdf"))).alias("f"))
+    return files.select("f.url", "f.content_type").distinct().select(
+        "url", "content_type", F.lit(None).cast("string").alias("html"), F.encode("url", "UTF-8").alias("body"),
+        F.timestamp_seconds(F.lit(EPOCH)).alias("fetched_at"))
+
+
+def robots_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return robots(spark, sf).select(F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url"))
+
+
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(
         F.col("url").alias("source_page"),

@@ -298,6 +298,34 @@ PARTS["assets"] = f"""SELECT source_page, asset_url, 'image' AS kind FROM img WH
 RESULTS["asset_filter"] = "SELECT source_page, asset_url, kind FROM assets"
 RESULTS["asset_dedup"] = "SELECT asset_url, kind, min(source_page) AS source_page FROM assets GROUP BY ALL"
 RESULTS["stream_asset_dedup"] = RESULTS["stream_unique_assets"] = "SELECT DISTINCT asset_url FROM assets"
+PARTS["site"] = "SELECT *, regexp_extract(url, '^[^/]*//[^/?#]*', 0) AS home FROM pg"
+PARTS["site_files"] = """SELECT home || '/img/' || language || '.png' AS url, 'image/png' AS content_type FROM site
+    UNION SELECT home || '/s/' || page_id || '.webp', 'image/webp' FROM site
+    UNION SELECT home || '/d/' || section || '.pdf', 'application/pdf' FROM site"""
+PARTS["all_binaries"] = """SELECT url, content_type, url AS body FROM site_files
+    UNION ALL SELECT url, content_type, body FROM landed WHERE body IS NOT NULL"""
+
+
+def _linked(pages: str) -> str:
+    return f"""SELECT b.url, b.body, lower(content_type) AS content_type, coalesce(l.source_page, b.url) AS source_page,
+    coalesce(l.kind, CASE WHEN prefix(lower(content_type), 'image/') THEN 'image' ELSE 'doc' END) AS kind
+  FROM all_binaries b LEFT JOIN (SELECT asset_url, source_page, kind FROM assets JOIN {pages} ON {pages}.url = source_page
+    QUALIFY row_number() OVER (PARTITION BY asset_url ORDER BY source_page, kind <> 'image') = 1) l ON l.asset_url = b.url"""
+
+
+PARTS["allowed_pages"] = """SELECT * FROM asset_pages JOIN (SELECT url, base_name, language, path, fetched_at FROM pg) USING (url)
+    WHERE path NOT LIKE '/es/%' OR path LIKE '/es/5%'"""
+PARTS["linked_all"], PARTS["linked_allowed"] = _linked("pg"), _linked("allowed_pages")
+RESULTS["linked_assets"] = f"""SELECT url, kind, source_page, content_type, sha256(body) AS content_hash,
+    {language('source_page')} AS language FROM linked_all"""
+PARTS["crawled"] = f"""SELECT 'pages' AS container, base_name || ext AS name, sha256(html) AS content_hash,
+    NULL::VARCHAR AS source_page, language, CASE WHEN ext = '.json' THEN {_LASTMOD} END AS lastmod, contains(url, '?') AS moves
+  FROM allowed_pages, (VALUES ('.html'), ('.md'), ('.json')) e(ext)
+  UNION ALL SELECT kind || 's', {blob('url')}, sha256(body), url_encode(source_page), {language('source_page')}, NULL::VARCHAR, false FROM linked_allowed"""
+RESULTS["ingest_artifacts"] = "SELECT container, name, content_hash, source_page, language, lastmod FROM crawled"
+RESULTS["run_manifest"] = """SELECT run::INTEGER AS run, c AS container, (SELECT count(*) FROM crawled
+    WHERE container = c AND (run = 1 OR moves)) AS uploaded
+  FROM (VALUES (1), (2)) r(run), (VALUES ('pages'), ('images'), ('docs'), ('snapshots')) k(c)"""
 RESULTS["rendered_image_union"] = f"""SELECT asset_url, min(source_page) AS source_page FROM (
     SELECT source_page, asset_url FROM img
     UNION ALL SELECT url, 'https://cdn.example.com/r/' || section || '.png' FROM pg)

@@ -19,6 +19,7 @@ from siteloom.operators import main_content as M
 from siteloom.operators import neighbours as V
 from siteloom.operators import retrieve as R
 from siteloom.operators import shape as S
+from siteloom.plans import crawl as C
 from siteloom.plans import index_build as B
 from siteloom.plans import search as P
 from siteloom.scale import checkpointed, scratch_path
@@ -297,6 +298,40 @@ def page_record(spark, sf):
     return E.page_record(landed, lastmod=entries).drop("html")
 
 
+@query
+def linked_assets(spark, sf):
+    """Binary responses with the page that links them; documents nobody links stand for themselves."""
+    responses = D.site_files(spark, sf).unionByName(D.landed(spark, sf))
+    links = E.asset_links(D.pages_with_assets(spark, sf), ASSET_HOSTS)
+    return E.binary_record(responses, links).drop("body", "crawled_at")
+
+
+def _crawl(spark, sf, store, moved=False):
+    responses = D.site_pages(spark, sf, moved).unionByName(D.site_files(spark, sf)).unionByName(
+        D.landed(spark, sf).filter("body is not null"))
+    return C.crawl(responses, D.robots_seeds(spark, sf), D.sitemap_xml(spark, sf), D.robots(spark, sf), store, now(), ASSET_HOSTS)
+
+
+@query
+def ingest_artifacts(spark, sf):
+    """What a crawl from the robots files on has stored."""
+    store = K.artifact_store(spark, scratch_path(spark, "crawled"), buckets=8)
+    _crawl(spark, sf, store)
+    told = {c: F.try_element_at("metadata", F.lit(k)) for c, k in (
+        ("content_hash", "contenthash"), ("source_page", "sourcepage"), ("language", "language"))}
+    described = F.when(F.endswith("name", F.lit(".json")), F.get_json_object(F.decode("data", "UTF-8"), "$.lastmod"))
+    return store.read().select("container", "name", *[v.alias(k) for k, v in told.items()], described.alias("lastmod"))
+
+
+@query
+def run_manifest(spark, sf):
+    """Counters of two runs: everything is new, then pages with a query string have changed."""
+    store = K.artifact_store(spark, scratch_path(spark, "crawled"), buckets=8)
+    runs = [_crawl(spark, sf, store, moved).counters for moved in (False, True)]
+    rows = [(n, k.removeprefix("uploaded_"), v) for n, run in enumerate(runs, 1) for k, v in run.items()]
+    return spark.createDataFrame(rows, "run int, container string, uploaded long")
+
+
 # -- filters -------------------------------------------------------------------
 
 @query

@@ -91,9 +91,13 @@ def doc_refs(pages: DataFrame) -> DataFrame:
 def asset_filter(refs: DataFrame, extensions: tuple[str, ...],
                  hosts: list[str] | DataFrame) -> DataFrame:
     """Keep asset URLs with a listed extension on an asset host or below one."""
+    return on_hosts(_of_type(refs, extensions), U.url_host(F.lower(F.substring_index("asset_url", "#", 1))), hosts)
+
+
+def _of_type(refs: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
     bare = F.lower(F.substring_index("asset_url", "#", 1))
     wanted = r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z"
-    return on_hosts(refs.filter(U.url_path(bare).rlike(wanted)), U.url_host(bare), hosts)
+    return refs.filter(U.url_path(bare).rlike(wanted))
 
 
 def asset_dedup(refs: DataFrame) -> DataFrame:
@@ -120,18 +124,42 @@ def asset_language(assets: DataFrame) -> DataFrame:
     return assets.withColumn("language", U.language_from_url(source))
 
 
-def binary_record(landed: DataFrame) -> DataFrame:
-    """Asset rows for the responses that are not HTML."""
+def asset_links(pages: DataFrame, hosts: list[str] | DataFrame) -> DataFrame:
+    """(asset_url, kind, source_page): images and documents that pages link on asset hosts, each URL
+    once. Its source is the smallest page that links it, its kind that page's link (an image before a document)."""
+    images, docs = image_refs(pages).withColumn("kind", F.lit("image")), doc_refs(pages).withColumn("kind", F.lit("doc"))
+    first = F.min(F.struct("source_page", F.col("kind") != "image", "kind")).alias("_first")
+    typed = _of_type(images, IMAGE_EXTENSIONS).unionByName(_of_type(docs, DOC_EXTENSIONS))
+    each = checkpointed(typed.groupBy("asset_url").agg(first).select("asset_url", "_first.kind", "_first.source_page"))
+    return on_hosts(each, U.url_host(F.lower(F.substring_index("asset_url", "#", 1))), hosts)
+
+
+def binary_record(landed: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Asset rows for the responses that are not HTML. With ``links`` (asset_url, kind, source_page) a linked
+    response gets the kind of its link and the page that links it, whose language it speaks; one
+    that nobody links stands for itself. A response and a link meet without their fragments.
+
+    Only URLs meet the link table; bodies are shuffled when the list of linked URLs is too long to send.
+    """
     _, binary = split_by_type(landed)
+    own = {"kind": T.binary_kind("content_type"), "source_page": F.col("url")}
+    if links is not None:
+        bare = F.substring_index("url", "#", 1).alias("_bare")
+        wanted = binary.select(bare).distinct()
+        known = links.select(F.substring_index("asset_url", "#", 1).alias("_bare"), F.struct("source_page", "kind").alias("_link"))
+        met = checkpointed(known.join(wanted, "_bare", "left_semi").groupBy("_bare").agg(F.min("_link").alias("_link")))
+        binary = lookup_join(binary.withColumn("_bare", F.substring_index("url", "#", 1)), met, ["_bare"], "left")
+        own = {name: F.coalesce(F.col("_link")[name], value) for name, value in own.items()}
     return asset_language(binary.select(
-        "url", T.binary_kind("content_type").alias("kind"), F.col("url").alias("source_page"),
+        "url", own["kind"].alias("kind"), own["source_page"].alias("source_page"),
         F.lower("content_type").alias("content_type"), "body",
         U.content_hash("body").alias("content_hash"), F.col("fetched_at").alias("crawled_at")))
 
 
 def page_record(landed: DataFrame, lastmod: DataFrame | None = None) -> DataFrame:
     """Full page rows. A ``markdown`` column is taken over; ``lastmod`` (loc,
-    lastmod) is joined in when given."""
+    lastmod) is joined in when given: dates meet the pages' URLs first, so the bodies
+    move only when the dates of these pages are themselves too many to send."""
     html, _ = split_by_type(landed)
     pages = html.select(
         "url", U.page_base_name("url").alias("base_name"), page_title("html").alias("title"),
@@ -140,6 +168,7 @@ def page_record(landed: DataFrame, lastmod: DataFrame | None = None) -> DataFram
         U.content_hash("html").alias("content_hash"), F.col("fetched_at").alias("crawled_at"),
         U.url_host("url").alias("host"))
     if lastmod is not None:
-        dated = checkpointed(lastmod.select(F.col("loc").alias("url"), "lastmod"))
+        wanted = html.select("url").distinct()
+        dated = checkpointed(lastmod.select(F.col("loc").alias("url"), "lastmod").join(wanted, "url", "left_semi"))
         pages = lookup_join(pages, dated, ["url"], "left")
     return pages

@@ -208,3 +208,30 @@ def test_scoring_a_stored_index_needs_no_exchange(spark, small_index):
     asked = spark.createDataFrame([(1, "cats dogs", None, None, None, 20, 0)], QUERIES)
     plan = R.bm25_scores(asked, small_index[1], facets=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_crawl_takes_wanted_pages_and_links_assets(spark):
+    def page(body):
+        return f"<title>T</title><p>{body} with enough words to be kept as text.</p>"
+    html = [("https://h.com/en/a", page("first") + '<img src="/i.png?v=1"><a href="/d.pdf">d</a>'), ("https://h.com/no/b", page("second")),
+            ("https://other.org/c", page("third")), ("https://h.com/unlisted", page("fourth"))]
+    rows = [(u, "text/html", h, None, 1) for u, h in html] + [("https://h.com/en/a", "text/html", page("older"), None, 0)]
+    rows += [(f"https://h.com/{n}", c, None, bytearray(n.encode()), 2) for n, c in (
+        ("i.png", "image/png"), ("d.pdf", "application/pdf"), ("x.pdf", "application/pdf"))]
+    entries = "".join(f"<url><loc>{u}</loc><lastmod>2024-01-0{n}</lastmod></url>" for n, (u, _) in enumerate(html[:3], 1))
+    sitemaps = spark.createDataFrame([("https://h.com/s.xml", f"<urlset>{entries}</urlset>")], "url string, xml string")
+    robots = spark.createDataFrame([("h.com", "User-agent: *\nDisallow: /no/\nSitemap: https://h.com/s.xml")], "host string, body string")
+    seeds = spark.createDataFrame([("https://h.com/robots.txt",)], "url string")
+    store = sinks.artifact_store(spark, scratch_path(spark, "store"), buckets=2)
+
+    def run(batch):
+        return crawl.crawl(landed(spark, batch), seeds, sitemaps, robots, store, F.lit(T0)).counters
+    assert run(rows) == {"uploaded_pages": 3, "uploaded_images": 1, "uploaded_docs": 2, "uploaded_snapshots": 0}
+    stored = {r["name"].rsplit(".", 1)[-1] + str("x-" in r["name"]): r for r in store.read().collect()}
+    assert json.loads(bytes(stored["jsonFalse"]["data"]))["lastmod"] == "2024-01-01"
+    assert "first" in bytes(stored["mdFalse"]["data"]).decode()
+    told = {k: (r["metadata"]["sourcepage"], r["metadata"]["language"]) for k, r in stored.items() if "sourcepage" in r["metadata"]}
+    page_url = "https%3A%2F%2Fh.com%2Fen%2Fa"
+    assert told == {"pngFalse": (page_url, "en"), "pdfFalse": (page_url, "en"), "pdfTrue": ("https%3A%2F%2Fh.com%2Fx.pdf", "unknown")}
+    version = store.state().version
+    assert set(run(rows).values()) == {0} and store.read().count() == 6 and store.state().version == version + 1
