@@ -1,6 +1,8 @@
 """Chunk removal against a plain count of equal chunks, and planted passages."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +22,46 @@ def cut(text):
         return [tuple(int(v) for v in x) for x in zip(c["start"], c["end"], c["stop"], strict=True)]
 
 
+def all_runs(text):
+    """(first line, last line) of the chunks, and of every shortest run of 16 words onwards and back, by trying all."""
+    raw = (text or "").encode()
+    lines, at = [], 0
+    for piece in raw.split(b"\n"):
+        if piece:
+            lines.append((at, at + len(piece)))
+        at += len(piece) + 1
+    words = [len(re.findall(rb"[^ \t-\r]+", raw[a:b])) for a, b in lines]
+    found = {(i, j) for i in range(len(lines)) for j in range(i, min(i + 20, len(lines))) if sum(words[i:j + 1]) >= 16
+             and (sum(words[i:j]) < 16 or sum(words[i + 1:j + 1]) < 16)}
+    begins = {a: i for i, (a, _) in enumerate(lines)}
+    ends = {b: i for i, (_, b) in enumerate(lines)}
+    return raw, lines, found | {(begins[a], ends[b]) for a, b, _ in cut(text)}
+
+
 def brute(documents):
-    """Texts left, by document, when later chunks of equal bytes go."""
-    seen, out = {}, {}
-    order = sorted({(d is None, d or 0, t or "") for d, t in documents})
-    places = {}
+    """Texts left, by document, when repeated runs of equal bytes go but for lines of first occurrences."""
+    order = sorted({(d is None, d or 0, hashlib.md5((("null" if d is None else f"={d}") + "|" + (t or "")).encode()).hexdigest(), t or "")
+                    for d, t in documents})
+    places, gone, kept = {}, {}, {}
     for key in order:
-        raw = key[2].encode()
-        for start, end, stop in cut(key[2]):
-            places.setdefault(raw[start:end], []).append((key, start, stop))
-    gone = {}
+        raw, lines, found = all_runs(key[3])
+        for i, j in sorted(found):
+            places.setdefault(raw[lines[i][0]:lines[j][1]], []).append((key, i, j))
     for found in places.values():
-        by_doc = [p for p in found if p[0][:2] == found[0][0][:2]]
-        # the first by id; rows of one id are ordered by their key, which texts cannot tell: compare counts only
-        seen[found[0][0]] = by_doc
-        for key, start, stop in found[1:]:
-            gone.setdefault(key, []).append((start, stop))
+        if len(found) > 1:
+            for n, (key, i, j) in enumerate(found):
+                (gone if n else kept).setdefault(key, set()).update(range(i, j + 1))
+    out = {}
     for key in order:
-        raw, at, kept = key[2].encode(), 0, b""
-        for start, stop in sorted(gone.get(key, [])):
-            kept += raw[at:start]
-            at = stop
-        out[key] = (kept + raw[at:]).decode()
-    return {(None if nameless else d, t): v for (nameless, d, t), v in out.items()}
+        raw, lines, _ = all_runs(key[3])
+        go = gone.get(key, set()) - kept.get(key, set())
+        starts = [a for a, _ in lines] + [len(raw)]
+        text, at = b"", 0
+        for i in sorted(go):
+            text += raw[at:starts[i]]
+            at = starts[i + 1]
+        out[key] = (text + raw[at:]).decode()
+    return {(None if nameless else d, t): v for (nameless, d, _, t), v in out.items()}
 
 
 def ours(df):
@@ -111,6 +130,7 @@ def test_long_text_in_one_group():
     text = "a b\n" * 400_000
     for _, _, data, offsets in K.groups(pa.array([text])):
         assert np.all(np.diff(L.chunks(data, offsets)["start"]) > 0)
+        assert np.all(np.diff(L.runs(data, offsets)["start"]) >= 0)
 
 
 def test_whole_passages_of_short_lines_go(spark):
@@ -130,3 +150,19 @@ def test_whole_passages_of_short_lines_go(spark):
     assert ours(df) == expected
     removed = L.deduplicated(df).filter("doc.doc_id % 2 = 1").selectExpr("size(spans) n", "spans[0].lines k", "doc.text was", "text").collect()
     assert all(r["n"] == 1 and r["k"] == r["was"].count("\n") - r["text"].count("\n") for r in removed)
+
+
+def test_first_occurrences_stay_whole(spark):
+    rng = random.Random(6)
+    a, b, c, q, z = (line(rng, 10) for _ in range(5))
+    docs = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{c}"), (3, f"{q}\n{b}\n{c}\n{z}")]
+    left = ours(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [left[d] for d in docs] == [f"{a}\n{b}", f"{b}\n{c}", f"{q}\n{z}"]
+
+
+def test_shorter_runs_by_parameter(spark):
+    rng = random.Random(7)
+    short = "\n".join(line(rng, 2) for _ in range(3))
+    docs = spark.createDataFrame([(i, "\n".join([line(rng, 6), short, line(rng, 6)])) for i in range(4)], "doc_id long, text string")
+    usual = L.deduplicated(docs, chunk_words=100).filter("size(spans) > 0").count()
+    assert usual == 0 and L.deduplicated(docs, min_words=6, chunk_words=100).filter("size(spans) > 0").count() == 3

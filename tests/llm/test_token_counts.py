@@ -41,7 +41,8 @@ def test_edge_rows_and_small_tables_of_known_words(spark, monkeypatch):
 
 
 def test_query_on_given_tables(spark):
-    vocabulary, known = T.vocabulary_at(PATH), {}
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    vocabulary, known = T.scored_at(PATH, T.fitted(documents, PATH)), {}
     rows = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in queries.QUERIES["op9_token_counts"](spark, SF).collect()}
     for r in pq.read_table(f"{SF}/documents.parquet").to_pylist():
         words = WORD.findall(r["text"])
