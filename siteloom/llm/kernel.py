@@ -8,6 +8,8 @@ with a mixing step; they are equal in every process and on every run.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 GROUP_ROWS = 1000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -103,6 +105,18 @@ def groups(texts: pa.Array, max_bytes: int = GROUP_BYTES, max_rows: int = GROUP_
         hi = min(max(hi, lo + 1), lo + max_rows, len(texts))
         yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give memory that is free again back to the system, as a worker outlives its tasks: what earlier tasks
+    left in reference cycles (helpers come by value, with their tables), the Arrow pool, and the C library's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def blocks(data: np.ndarray, inside: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

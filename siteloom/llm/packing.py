@@ -7,7 +7,7 @@ sequence exactly are enumerated, non-negative least squares fits how often each
 used, the fit is rounded down so that it never uses more pieces than there are, and the
 residual histogram is packed best-fit, longest first. Spark then numbers the pieces of each
 length and joins them to the plan's places. Pieces of equal length are numbered within
-``SPREAD`` hash groups, so one common length is never ranked in a single task.
+hash groups (``SPREAD`` of them for every ``PIECES`` pieces), so one common length is never ranked in a single task.
 
 Null or empty text is the end id alone. Rows repeated in id and text are distinct pieces that differ
 in their place only. An empty table gives no rows. Other columns are ignored.
@@ -23,7 +23,6 @@ broadcast to the pieces.
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,6 +41,7 @@ LIMIT = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 SPREAD = 64
+PIECES = 64_000_000
 STEP = 16
 ROUNDS = 400
 KNOWN = 800_000
@@ -159,8 +159,22 @@ def tokens_at(path: str) -> Tokens:
     return Tokens(tokenizer_at(path))
 
 
-def cut_pieces(df: DataFrame, doc_id: str, path: str, limit: int, end_id: int, with_ids: bool) -> DataFrame:
-    """One row per piece: id, row, piece, start, length, ids_crc32 and, if asked for, ids."""
+def cut_ids(flat: np.ndarray, begin: np.ndarray, limit: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Pieces of a group of texts, from all their ids and where each text's begin: text, number, start, length, and ids as bytes."""
+    size = np.diff(begin)
+    ids = np.full(len(flat) + len(size), end_id, dtype="<u4")
+    ids[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat
+    many = -(-(size + 1) // limit)
+    doc = np.repeat(np.arange(len(size)), many)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    start = piece * limit
+    length = np.minimum(limit, size[doc] + 1 - start)
+    edges = (4 * np.concatenate([[0], np.cumsum(length)])).astype(np.int32)
+    return doc, piece, start, length, pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+
+
+def cut_pieces(df: DataFrame, doc_id: str, path: str, limit: int, end_id: int) -> DataFrame:
+    """One row per piece: id, row, piece, start, length and ids (little-endian unsigned 32-bit numbers)."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,30 +182,16 @@ def cut_pieces(df: DataFrame, doc_id: str, path: str, limit: int, end_id: int, w
         for batch in batches:
             at = 0
             for rows, flat, begin in token_ids(batch.column("text"), tokens):
-                out = []
-                for i in range(rows):
-                    own = np.append(flat[begin[i]:begin[i + 1]], np.uint32(end_id))
-                    for piece, start in enumerate(range(0, len(own), limit)):
-                        part = own[start:start + limit]
-                        out.append((i, piece, start, part))
-                take = pa.array([o[0] + at for o in out], type=pa.int64())
-                columns = [batch.column("id").take(take), batch.column("row").take(take),
-                           pa.array([o[1] for o in out], type=pa.int32()), pa.array([o[2] for o in out], type=pa.int64()),
-                           pa.array([len(o[3]) for o in out], type=pa.int64()),
-                           pa.array([zlib.crc32(o[3].astype("<u4").tobytes()) for o in out], type=pa.int64())]
-                names = ["id", "row", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    sizes = np.cumsum([0] + [len(o[3]) for o in out])
-                    columns.append(pa.ListArray.from_arrays(pa.array(sizes, type=pa.int32()),
-                                                            pa.array(np.concatenate([o[3] for o in out]).astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                doc, piece, start, length, ids = cut_ids(flat, begin, limit, end_id)
+                take = pa.array(doc + at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(take), batch.column("row").take(take), pa.array(piece, type=pa.int32()), pa.array(start),
+                     pa.array(length), ids], names=["id", "row", "piece", "start", "length", "ids"])
                 at += rows
 
     rows = df.select(F.col(doc_id).alias("id"), F.col("text").cast("string").alias("text"))
     return rows.select("id", row_key("id", "text").alias("row"), "text").mapInArrow(
-        run, f"id {kind}, row string, piece int, start bigint, length bigint, ids_crc32 bigint"
-        + (", ids array<int>" if with_ids else ""))
+        run, f"id {kind}, row string, piece int, start bigint, length bigint, ids binary")
 
 
 @dataclass
@@ -299,12 +299,12 @@ def plan(histogram: np.ndarray, limit: int = LIMIT) -> Plan:
     return Plan(groups + best_fit(left, limit))
 
 
-def packed(documents: DataFrame, path: str, doc_id: str = "doc_id", limit: int = LIMIT, end_id: int = END_ID,
-           with_ids: bool = True) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, ids, sequence_id and offset."""
+def packed(documents: DataFrame, path: str, doc_id: str = "doc_id", limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids (little-endian unsigned 32-bit numbers), their CRC, sequence_id and offset."""
     spark = documents.sparkSession
-    pieces = written(cut_pieces(documents, doc_id, path, limit, end_id, with_ids).withColumn(
-        "part", F.pmod(F.xxhash64("row", "piece"), F.lit(SPREAD)).cast("int")), "pieces")
+    pieces = written(cut_pieces(documents, doc_id, path, limit, end_id), "pieces")
+    spread = SPREAD * (1 + pieces.count() // PIECES)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(spread)).cast("int"))
     counts = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("count")), "histogram")
     histogram = np.zeros(limit + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("count").alias("count")).collect():  # at most ``limit`` rows
@@ -327,7 +327,6 @@ def packed(documents: DataFrame, path: str, doc_id: str = "doc_id", limit: int =
     low, high = F.col("s.low"), F.col("s.high")
     found = placed.alias("p").join(F.broadcast(slots).alias("s"), (F.col("p.length") == F.col("s.length"))
                                    & (F.col("p.at") >= low) & (F.col("p.at") < high))
-    ids = ["ids"] if with_ids else []
     return found.select(
-        F.col("id").alias(doc_id), "piece", "start", F.col("p.length").alias("length"), "ids_crc32", *ids,
-        (F.col("first_sequence") + F.col("at") - low).alias("sequence_id"), "offset")
+        F.col("id").alias(doc_id), "piece", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), "ids",
+        F.crc32("ids").alias("ids_crc32"), (F.col("first_sequence") + F.col("at") - low).alias("sequence_id"), "offset")

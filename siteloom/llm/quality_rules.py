@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from siteloom.llm import kernel as K
 
@@ -80,21 +81,18 @@ def counts(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
                      n_lines, per_text(UPPER[data]), per_text(DIGIT[data]), per_text(MARK[data])]
 
 
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
+def counts_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        parts = [np.stack(values).astype(np.int64) for _, values in counts(batch)]
+        whole = np.concatenate([np.zeros((len(COUNTS), 0), dtype=np.int64), *parts], axis=1)
+        yield pa.StructArray.from_arrays([pa.array(c) for c in whole], COUNTS)
+
+
 def counted(df: DataFrame, text: str = "text") -> DataFrame:
-    """Every row as a struct ``doc`` and its counts beside it; columns keep their names inside."""
-    kind = df.select(F.struct("*").alias("doc")).schema["doc"].dataType
-    name = next(f.name for f in kind.fields if f.name.lower() == text.lower())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, at = batch.column("doc"), 0
-            for rows, values in counts(doc.field(name)):
-                yield pa.RecordBatch.from_arrays([doc.slice(at, rows), *(pa.array(v.astype(np.int64)) for v in values)],
-                                                 names=["doc", *COUNTS])
-                at += rows
-
-    fields = ", ".join(f"{c} bigint" for c in COUNTS)
-    return df.select(F.struct("*").alias("doc")).mapInArrow(run, f"doc {kind.simpleString()}, {fields}")
+    """Every row as a struct ``doc`` and its counts beside it; columns keep their names inside. Only the text goes through Python."""
+    found = df.select(F.struct("*").alias("doc"), counts_of(F.col(text).cast("string")).alias("counts"))
+    return found.select("doc", *[F.col("counts")[c].alias(c) for c in COUNTS])
 
 
 def ratio(above: Column, below: str) -> Column:

@@ -81,7 +81,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(packing.TOKENIZER)
-    return packing.packed(table(spark, sf_dir, "documents"), path, with_ids=False)
+    return packing.packed(table(spark, sf_dir, "documents"), path).drop("ids")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_packing(stages):
 def test_whole_run_and_empty_table(spark, tmp_path):
     out = __spark_entry__.queries()["pipeline"](spark, SF)
     assert NAMES == ["quality_rules", "line_dedup", "jaccard_join", "decontamination", "packing"]
-    assert out.count() > 20 and out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert out.count() > 20 and out.columns == ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
