@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes all that the one before kept and returns the columns of the documents table,
-but the last, which returns the places of pieces in sequences:
+but the last, which returns the pieces with their token ids and places in sequences:
 
 1. quality rules: documents that the base or the learned list rejects go;
 2. line dedup: repeated chunks are cut out; documents that are left without a word go, and
@@ -11,17 +11,20 @@ but the last, which returns the places of pieces in sequences:
 5. best-fit packing.
 
 Decisions are joined to rows by id and text together, so documents that share an id by mistake are
-judged apart, and a row repeated in both stays once if its group stays.
+judged apart, and a row repeated in both stays once if its group stays. Null and empty texts fail the first stage;
+an empty table gives no rows in any stage. Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import decontaminate, jaccard_join, line_chunks, packing, quality_rules
-from siteloom.llm.tables import row_key, table
+from siteloom.llm.tables import row_key, small_batches, table
 from siteloom.scale import lookup_join, written
 
 #: The stages learn rules and pack by tokens, which SQL cannot state.
@@ -66,11 +69,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path(packing.TOKENIZER), with_ids=False)
+    return packing.packed(docs, public_tokenizers.path(packing.TOKENIZER))
+
+
+def sparing(stage):
+    """The stage with small batches between Spark and Python, as its workers and executors serve all stages."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stage(spark, docs, sf_dir)
+    return run
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", line_dedup), ("jaccard_join", near_duplicates),
-          ("decontamination", decontamination), ("packing", sequences)]
+STAGES = [(name, sparing(stage)) for name, stage in (
+    ("quality_rules", quality), ("line_dedup", line_dedup), ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination), ("packing", sequences))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
