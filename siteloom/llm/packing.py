@@ -41,7 +41,7 @@ LIMIT = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 SPREAD = 64
-PIECES = 64_000_000
+PIECES = 4_000_000
 STEP = 16
 ROUNDS = 400
 KNOWN = 800_000
