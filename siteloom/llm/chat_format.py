@@ -4,7 +4,9 @@ Every layout names the nested field paths it needs and how they become turns. Th
 fingerprint of a layout is the hash of its sorted paths; a table (or a JSON record) has
 a layout when the hash of those of its paths that the layout names is the same. The
 layout with the most paths wins, then the first. Further fields, whatever their names,
-change nothing. Typed tables are matched once by their schema, JSON records row by row.
+change nothing. Typed tables are matched once by their schema, JSON records row by row; a path through
+an array is there when any element has it. JSON records that are no JSON, fit no layout, hold no turn, or hold
+a list element that is no message are rejected whole, with the reason; null elements of lists are left out.
 
 Canonical turns are rows (conv_id, turn, role, text); null roles and texts are empty.
 A turn is written as ``<s>role\\ntext</s>`` with the role URL-encoded and every control
@@ -128,12 +130,27 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", layouts=LAYOUTS) ->
     return exploded(df, F.col(conv_id), field_turns(tuple(names), F.col))
 
 
-def json_layout(record: Column, layouts=LAYOUTS) -> Column:
-    """Name of the layout of one JSON record (a variant): the hash of the paths it has among those
+def json_items(path: str) -> Column:
+    """The elements of a JSON list that are not null; null where there is no list."""
+    items = F.try_variant_get("parsed", f"$.{path}", "array<variant>")
+    return F.filter(items, lambda m: m.isNotNull() & ~F.is_variant_null(m))
+
+
+def json_field(name: str) -> Column:
+    return F.try_variant_get("parsed", f"$.{name}", "string")
+
+
+def has_field(value: Column, name: str) -> Column:
+    """Whether a JSON value is an object with this field, which may hold a null."""
+    return F.try_variant_get(value, f"$.{name}", "variant").isNotNull()
+
+
+def json_layout(layouts=LAYOUTS) -> Column:
+    """Name of the layout of the JSON record ``parsed`` (a variant): the hash of the paths it has among those
     of each layout against that layout's fingerprint. Null when none fits."""
     def present(path: str) -> Column:
-        at = "$." + path.replace("[]", "[0]")
-        return F.try_variant_get(record, at, "variant").isNotNull()
+        outer, inside, inner = path.partition("[].")
+        return F.exists(json_items(outer), lambda m: has_field(m, inner)) if inside else has_field(F.col("parsed"), path)
 
     chosen = F.lit(None).cast("string")
     for layout in sorted(reversed(layouts), key=lambda x: len(x.paths)):
@@ -142,29 +159,38 @@ def json_layout(record: Column, layouts=LAYOUTS) -> Column:
     return chosen
 
 
-def json_field(name: str) -> Column:
-    return F.try_variant_get("parsed", f"$.{name}", "string")
-
-
 def canonical_json_turns(df: DataFrame, record: str, conv_id: str = "conv_id", layouts=LAYOUTS) -> tuple[DataFrame, DataFrame]:
-    """Turns of JSON records of mixed layouts, and the rows that no layout fits (also those that are no JSON)."""
+    """Turns of JSON records of mixed layouts, and the rejected rows (conv_id, record, reason): every record is
+    in one of the two, whole. A record of the layout "turn rows" is the turn of its own number (null: first);
+    turns of several records of one conversation are ordered by number, as those of a table are."""
     marked = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"),
-                       F.try_parse_json(record).alias("parsed")).withColumn("layout", json_layout(F.col("parsed"), layouts))
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+                       F.try_parse_json(record).alias("parsed")).withColumn("layout", json_layout(layouts))
+    turns, foreign = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>"), F.lit(False)
     for layout in layouts:
         kind, *names = layout.turns
-        if kind == "list":
-            path, role, text = names
-            said = F.try_variant_get("parsed", f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            own = F.transform(F.filter(said, lambda m: m.isNotNull()), renamed(role, text))
-        elif kind == "fields":
-            own = field_turns(tuple(names), json_field)
-        else:
+        mine = F.col("layout") == layout.name
+        if kind == "rows":
             turn, role, text = names
-            own = F.array(turn_struct(json_field(role), json_field(text)))
-        turns = F.when(F.col("layout") == layout.name, own).otherwise(turns)
-    return (exploded(marked, F.col("conv_id"), turns),
-            marked.filter("layout is null").select("conv_id", "record"))
+            own = F.array(F.struct(F.try_variant_get("parsed", f"$.{turn}", "bigint").alias("turn"),
+                                   json_field(role).alias("role"), json_field(text).alias("text")))
+        else:
+            if kind == "list":
+                path, role, text = names
+                said = F.transform(json_items(path), lambda m: turn_struct(  # noqa: B023
+                    F.try_variant_get(m, f"$.{role}", "string"), F.try_variant_get(m, f"$.{text}", "string")))  # noqa: B023
+                strange = F.exists(json_items(path), lambda m: ~has_field(m, role) & ~has_field(m, text))  # noqa: B023
+                foreign = F.when(mine, strange).otherwise(foreign)
+            else:
+                said = field_turns(tuple(names), json_field)
+            own = F.transform(said, lambda t, i: F.struct(i.cast("bigint").alias("turn"), canonical_role(t["role"]).alias("role"),
+                                                          t["text"].alias("text")))
+        turns = F.when(mine, own).otherwise(turns)
+    reason = (F.when(F.col("parsed").isNull(), "no JSON").when(F.col("layout").isNull(), "no layout")
+              .when(F.col("foreign"), "an element is no message").when(F.size("turns") == 0, "no turns"))
+    read = marked.withColumns({"turns": turns, "foreign": foreign}).withColumn("reason", reason)
+    kept = read.filter("reason is null").select("conv_id", F.explode("turns").alias("t"))
+    return (kept.select("conv_id", "t.turn", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text")),
+            read.filter("reason is not null").select("conv_id", "record", "reason"))
 
 
 def escaped(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import (
@@ -32,7 +32,43 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.array(*[
         F.struct(F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("content"))
         for role in ("user", "assistant")]).alias("messages"))
-    turns = chat_format.canonical_turns(table(spark, sf_dir, "conversations")).union(chat_format.canonical_turns(planted))
+    return _chat_digests(chat_format.canonical_turns(table(spark, sf_dir, "conversations")).union(chat_format.canonical_turns(planted)))
+
+
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON records of all layouts, read and formatted: nothing may be lost or change its place."""
+    turns, _ = chat_format.canonical_json_turns(json_records(table(spark, sf_dir, "conversations")), "record")
+    return _chat_digests(turns)
+
+
+def json_records(conversations: DataFrame) -> DataFrame:
+    """(conv_id, record): a layout for each conversation, by what it holds. One question with one answer goes
+    into single fields, a conversation that opens or closes as a dialogue of some kind into a list, others into one record per turn."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("t"))
+    first, last = F.col("t")[0], F.element_at("t", -1)
+    roles = F.array_join("t.role", ",")
+    ask, answer = first["text"], last["text"]
+    parts = F.split(ask, "\n\n", 2)
+
+    def fields(**named) -> Column:
+        return F.array(F.to_json(F.struct(*[c.alias(n) for n, c in named.items()])))
+
+    pick = F.pmod(F.xxhash64(ask), F.lit(4))
+    single = (F.when((F.size(parts) == 2) & (parts[0] != "") & (parts[1] != ""),
+                     fields(instruction=parts[0], input=parts[1], output=answer))
+              .when(pick == 0, fields(instruction=ask, output=answer)).when(pick == 1, fields(prompt=ask, completion=answer))
+              .when(pick == 2, fields(prompt=ask, response=answer)).otherwise(fields(question=ask, answer=answer)))
+    listed = lambda role, text: F.transform("t", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text)))
+    rows = F.transform("t", lambda x: F.to_json(F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text")),
+                                                {"ignoreNullFields": "false"}))
+    layout = (F.when((roles == "user,assistant") & (ask != "") & (answer != ""), single)
+              .when(first["role"] == "system", fields(messages=listed("role", "content")))
+              .when(last["role"] == "user", fields(conversations=listed("from", "value"))).otherwise(rows))
+    return whole.select("conv_id", F.explode(layout).alias("record"))
+
+
+def _chat_digests(turns: DataFrame) -> DataFrame:
     out = chat_format.formatted(turns).withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn(
         "loss", chat_format.read_loss(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -125,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_token_align": op11_token_align,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_quality_trees": op13_quality_trees,
+    "chat_records": chat_records,
 }
 
 SQL: dict[str, str] = dict(STATEMENTS)

@@ -18,6 +18,9 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id"""
 
+#: The same conversations through JSON records: what came in must come out.
+RECORDS = CHAT.replace("UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)", "")
+
 CONTAMINATION = f"""WITH docs AS (SELECT doc_id, {ALNUM_WORDS.format("coalesce(text, '')")} AS w FROM documents),
   items AS (SELECT item_id, {ALNUM_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
   windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (
@@ -72,4 +75,4 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
 
 STATEMENTS = {"op1_chat_format": CHAT, "op2_decontaminate": CONTAMINATION, "op3_warc": ARCHIVE, "op10_jaccard_join": COMPONENTS,
-              "op12_hard_negatives": NEGATIVES}
+              "op12_hard_negatives": NEGATIVES, "chat_records": RECORDS}

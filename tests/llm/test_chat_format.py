@@ -84,6 +84,53 @@ def test_json_records_of_mixed_layouts(spark):
     assert sorted(r["conv_id"] for r in rest.collect()) == [90, 91, 92]
 
 
+REJECTED = [
+    ({"instruction": "", "output": ""}, "no turns"), ({"prompt": None, "completion": None}, "no turns"),
+    ({"messages": [{"role": "user", "content": "q"}, "plain"]}, "an element is no message"),
+    ({"messages": [{"role": "user", "content": "q"}, {"other": 1}]}, "an element is no message"),
+    ({"messages": []}, "no layout"), ({"messages": [None]}, "no layout"), ({"messages": "text"}, "no layout"),
+    ({"messages": ["plain"]}, "no layout"), ([1, 2], "no layout"), ("text", "no layout"), (None, "no layout"), ({}, "no layout"),
+]
+
+
+def test_json_records_are_kept_or_rejected_whole(spark):
+    kept = [(1, {"turn": 2, "role": "user", "text": "again"}), (1, {"turn": 0, "role": "user", "text": "question"}),
+            (1, {"turn": 1, "role": "assistant", "text": "reply"}), (1, {"turn": None, "role": None, "text": None}),
+            (2, {"messages": [None, {"content": "no role"}, {"role": "user", "content": ["a", 1]}, {"role": "gpt"}]}),
+            (None, {"prompt": "p", "completion": "c"}), (None, {"prompt": "p", "completion": "c"}),
+            (3, {"conversations": [{"value": "x"}, {"from": "human", "value": None}], "turn": 7}),
+            (4, {"turn": "none", "role": "tool", "text": 5})]
+    rows = [(i, json.dumps(r), "clash", "clash") for i, r in kept] + [(100 + i, json.dumps(r), "", "") for i, (r, _) in enumerate(REJECTED)]
+    turns, rest = C.canonical_json_turns(spark.createDataFrame(rows, "conv_id long, record string, layout string, parsed string"), "record")
+    got = {}
+    for r in turns.collect():
+        got.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
+    in_order = lambda t: ((t[0] is not None, t[0] or 0), *t[1:])
+    assert {k: [t[1:] for t in sorted(v, key=in_order)] for k, v in got.items()} == {
+        1: [("", ""), ("user", "question"), ("assistant", "reply"), ("user", "again")],
+        2: [("", "no role"), ("user", '["a",1]'), ("assistant", "")],
+        None: [("user", "p"), ("user", "p"), ("assistant", "c"), ("assistant", "c")],
+        3: [("", "x"), ("user", "")], 4: [("tool", "5")]}
+    assert {r["conv_id"]: r["reason"] for r in rest.collect()} == {100 + i: reason for i, (_, reason) in enumerate(REJECTED)}
+    text = next(r["formatted"] for r in C.formatted(turns).filter("conv_id = 1").collect())
+    assert text == "<s>\n</s><s>user\nquestion</s><s>assistant\nreply</s><s>user\nagain</s>"
+    assert all(d.count() == 0 for d in C.canonical_json_turns(spark.createDataFrame([], "conv_id long, record string"), "record"))
+
+
+def test_conversations_as_json_records(spark):
+    given = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in pq.read_table(f"{SF}/conversations.parquet").to_pylist()]
+    rows = queries.QUERIES["chat_records"](spark, SF).collect()
+    assert {r["conv_id"]: tuple(r)[1:5] for r in rows} == expected(given)
+    made = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "do\n\nthis"), (2, 1, "assistant", "a"), (3, 0, "user", ""),
+            (3, 1, "assistant", "a"), (4, None, None, None), (5, 3, "system", "s"), (5, 3, "system", "s"), (None, 1, "user", "x")]
+    records = queries.json_records(spark.createDataFrame(made, "conv_id long, turn long, role string, text string"))
+    turns, rest = C.canonical_json_turns(records, "record")
+    assert rest.count() == 0 and {k: v[:4] for k, v in read_back(turns).items()} == expected(made)
+    every = queries.json_records(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"))
+    marked = every.select(F.try_parse_json("record").alias("parsed")).select(C.json_layout().alias("layout")).distinct()
+    assert {"turn rows", "messages", "from and value", "instruction"} <= {r["layout"] for r in marked.collect()}
+
+
 @pytest.mark.parametrize("number", [i for i, (r, _, _) in enumerate(RECORDS) if None not in r.values()])
 def test_typed_tables_by_schema(spark, number):
     record, name, turns = RECORDS[number]
