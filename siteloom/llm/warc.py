@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.scale import lookup_join
+from siteloom.scale import lookup_join, written
 
 SAMPLE = 20_000
 SHARD_BYTES = 64 << 20
@@ -137,19 +137,25 @@ class Roller:
             self.number += 1
 
 
-def shard_of(rows: DataFrame, total: int, count: int, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard``, by bounds on (page_id, spread) that cut the sampled bytes evenly."""
-    shards = max(-(-total // shard_bytes), min(LEAST_SHARDS, -(-total // LEAST_BYTES)), 1)
+def sampled_keys(rows: DataFrame, count: int) -> DataFrame:
+    """A hash sample of about ``SAMPLE`` keys (page_id, spread), one row each with all its stored bytes, however
+    many of the ``count`` rows are equal."""
     step = max(1, count // SAMPLE)
-    sample = (rows.select("page_id", "spread", "stored").filter(F.pmod(F.xxhash64("page_id", "spread"), F.lit(step)) == 0)
-              .toPandas().sort_values(["page_id", "spread"], kind="stable"))
+    return (rows.filter(F.pmod(F.xxhash64("page_id", "spread"), F.lit(step)) == 0)
+            .groupBy("page_id", "spread").agg(F.sum("stored").alias("stored")))
+
+
+def shard_of(rows: DataFrame, total: int, count: int, shard_bytes: int) -> tuple[Column, int]:
+    """The shard of a row by bounds on (page_id, spread) that cut the sampled bytes evenly, and how many there are."""
+    shards = max(-(-total // shard_bytes), min(LEAST_SHARDS, -(-total // LEAST_BYTES)), 1)
+    sample = sampled_keys(rows, count).toPandas().sort_values(["page_id", "spread"], kind="stable")
     weight = sample["stored"].to_numpy().cumsum()
     wanted = np.arange(1, shards) * (weight[-1] / shards) if len(weight) else np.zeros(0)
     at = np.unique(np.searchsorted(weight, wanted, side="right")) if len(weight) else np.zeros(0, dtype=int)
     at = at[at < len(sample)]
     ids, spreads = sample["page_id"].to_numpy(dtype=np.int64)[at], sample["spread"].to_numpy(dtype=np.int64)[at]
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf("int")
     def place(page_id: pd.Series, spread: pd.Series) -> pd.Series:
         page, own = page_id.to_numpy(dtype=np.int64), spread.to_numpy(dtype=np.int64)
         low, high = np.searchsorted(ids, page, "left"), np.searchsorted(ids, page, "right")
@@ -157,9 +163,9 @@ def shard_of(rows: DataFrame, total: int, count: int, shard_bytes: int) -> tuple
             mine = (low == i) & (high > low)
             top = high[mine][0]
             low[mine] = i + np.searchsorted(spreads[i:top], own[mine], "right")
-        return pd.Series(low)
+        return pd.Series(low.astype(np.int32))
 
-    return rows.withColumn("shard", place("page_id", "spread")), len(at) + 1
+    return place("page_id", "spread"), len(at) + 1
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit: int = 0, shard_bytes: int = SHARD_BYTES,
@@ -169,16 +175,24 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0, shard_bytes
     rows = pages.select(F.col(page_id).cast("bigint").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("payload")
                         ).withColumns({"size": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload"),
                                        "key": F.sha2("payload", 256)})
-    copies = (rows.filter(F.col("size") >= min_revisit).groupBy("key").agg(F.min("page").alias("leader"), F.count(F.lit(1)).alias("n"))
-              .filter("n > 1").select("key", "leader", F.lit(True).alias("copied")))
+    # Sizes and digests are worked out once and written; only the last pass below reads the payloads again.
+    heads = written(rows.drop("payload"), "heads")
+    copies = written(heads.filter(F.col("size") >= min_revisit).groupBy("key").agg(
+        F.min("page").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader", F.lit(True).alias("copied")), "copies")
     first = F.col("copied").isNull() | F.col("page").eqNullSafe(F.col("leader"))
-    named = lookup_join(rows, copies, ["key"], "left").select(
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return lookup_join(df, copies, ["key"], "left").withColumns({
+            "page_id": F.coalesce("page", F.lit(-(1 << 63))), "spread": F.xxhash64("key"),
+            "stored": F.when(first, F.col("size")).otherwise(0) + RECORD_BYTES})
+
+    places = keyed(heads).select("page_id", "spread", "stored")
+    whole = places.agg(F.sum("stored").alias("total"), F.count(F.lit(1)).alias("count")).first()
+    shard, shards = shard_of(places, whole["total"] or 0, whole["count"], shard_bytes)
+    dealt = keyed(rows).select(
         "page", "url", "size", "digest", "key", F.when(first, F.col("payload")).alias("payload"),
         F.when(F.col("copied"), F.col("leader")).otherwise(F.col("page")).alias("leader"), F.col("copied").isNotNull().alias("copied"),
-        F.coalesce("page", F.lit(-(1 << 63))).alias("page_id"), F.xxhash64("key").alias("spread"),
-        (F.when(first, F.col("size")).otherwise(0) + RECORD_BYTES).alias("stored"))
-    whole = named.agg(F.sum("stored").alias("total"), F.count(F.lit(1)).alias("count")).first()
-    dealt, shards = shard_of(named, whole["total"] or 0, whole["count"], shard_bytes)
+        "page_id", "spread").withColumn("shard", shard)
     fields = ["shard", "page", "url", "size", "digest", "key", "payload", "leader", "copied"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +212,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0, shard_bytes
         roller.fs.delete_dir(roller.tmp)
 
     schema = pa.schema([("file", pa.string()), ("shard", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
-    ordered = (dealt.select(*fields, "page_id", "spread").repartitionByRange(shards, "shard")
+    ordered = (dealt.select(*fields, "page_id", "spread").repartitionById(shards, "shard")
                .sortWithinPartitions("shard", "page_id", "spread", "key", "url").select(*fields))
     ordered.mapInArrow(run, FILES).write.parquet(f"{path}/{MANIFEST}")
     return pages.sparkSession.read.schema(FILES).parquet(f"{path}/{MANIFEST}")

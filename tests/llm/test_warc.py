@@ -76,6 +76,20 @@ def test_many_rows_of_one_page_id_are_split(spark, tmp_path):
     assert max(r["records"] for r in manifest.collect()) < 200
 
 
+def test_sample_holds_a_key_once(spark):
+    rows = spark.range(30_000).selectExpr("if(id < 29900, 7, id) AS page_id", "page_id AS spread", "10L AS stored")
+    found = {r["page_id"]: r["stored"] for r in warc.sampled_keys(rows, 100).collect()}
+    assert found == {7: 299_000} | {i: 10 for i in range(29_900, 30_000)}
+    assert warc.sampled_keys(rows, 10 ** 9).count() <= 1
+
+
+def test_very_many_equal_rows(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr("if(id < 29900, 7, id) AS page_id", "'u' AS url", "'same' AS html")
+    warc.write_archive(rows, str(tmp_path / "a"), shard_bytes=200_000)
+    kinds = warc.read_archive(spark, str(tmp_path / "a"), with_payload=False).groupBy("record_type", "refers_to").count().collect()
+    assert {tuple(r) for r in kinds} == {("response", None, 1), ("revisit", 7, 29_999)}
+
+
 def test_damage_and_unlisted_files_are_noticed(spark, tmp_path):
     path = tmp_path / "a"
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), str(path))
