@@ -4,7 +4,9 @@ Host and path are cut out of the URL, explicit rules decide first (the longest t
 and boosted trees judge the rest. They are trained from labelled URLs, at most ``SAMPLE``
 of them by URL hash (the documented bound), with Spark's own learner, and become one sum
 of nested conditions, so judging is a plain projection. Suffix statistics count all rows:
-how frequent the last two host labels are, and how often labelled URLs under them are blocked.
+how frequent the last two host labels are, and how often labelled URLs under them are blocked. A row that is
+trained on sees the labels of the other folds of URLs only, never its own. Where the labels are the verdicts of the explicit
+rules, as by default, the trees can learn no more than how URLs look that those rules block or allow.
 
 A null URL, or one without ``://``, has an empty host and path; no rule fits it. Repeated rows get
 equal results. Without labelled URLs of both kinds the method allows everything.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from siteloom.scale import lookup_join, written
 
 SAMPLE = 20_000
+FOLDS = 5
 TREES = 12
 DEPTH = 4
 STEP = 0.3
@@ -96,12 +99,35 @@ def with_features(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in real.items()} | {"suffix": F.substring_index("host", ".", -2)})
 
 
-def suffix_statistics(df: DataFrame, blocked: str) -> DataFrame:
-    """Per suffix, over all rows: log count, and share of labelled rows (non-null ``blocked``) that are
-    blocked, drawn to one half by one row of either kind."""
-    return df.groupBy("suffix").agg(
-        F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_count"),
-        ((F.coalesce(F.sum(blocked), F.lit(0.0)) + 1) / (F.count(blocked) + 2)).alias("suffix_blocked"))
+def fold() -> Column:
+    return F.pmod(F.xxhash64("_url"), F.lit(FOLDS))
+
+
+def share_blocked(blocked: Column, labelled: Column) -> Column:
+    """Share of labelled rows that are blocked, drawn to one half by one row of either kind."""
+    return (blocked + 1) / (labelled + 2)
+
+
+def fold_statistics(df: DataFrame, blocked: str) -> DataFrame:
+    """Per suffix and fold, over all rows: rows, labelled rows (non-null ``blocked``) and blocked ones."""
+    return df.groupBy("suffix", fold().alias("fold")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(blocked).alias("labelled"), F.coalesce(F.sum(blocked), F.lit(0.0)).alias("blocked"))
+
+
+def suffix_statistics(folds: DataFrame) -> DataFrame:
+    """Per suffix, over all rows: log count, and share of labelled rows that are blocked."""
+    return folds.groupBy("suffix").agg(
+        F.log1p(F.sum("rows").cast("double")).alias("suffix_count"),
+        share_blocked(F.sum("blocked"), F.sum("labelled")).alias("suffix_blocked"))
+
+
+def out_of_fold(known: DataFrame, folds: DataFrame) -> DataFrame:
+    """Training rows with ``suffix_blocked`` from the folds that they are not in."""
+    wanted = known.select("suffix", fold().alias("own")).distinct()
+    others = (lookup_join(folds, wanted, ["suffix"], "inner").groupBy("suffix", "own").agg(
+        share_blocked(F.sum(F.when(F.col("fold") != F.col("own"), F.col("blocked")).otherwise(0.0)),
+                      F.sum(F.when(F.col("fold") != F.col("own"), F.col("labelled")).otherwise(0))).alias("suffix_blocked")))
+    return known.drop("suffix_blocked").withColumn("own", fold()).join(others, ["suffix", "own"])
 
 
 def score_of(model) -> Column:
@@ -119,13 +145,13 @@ def score_of(model) -> Column:
     return total
 
 
-def train(rows: DataFrame, blocked: str, sample: int = SAMPLE) -> Column:
+def train(rows: DataFrame, blocked: str, folds: DataFrame, sample: int = SAMPLE) -> Column:
     """Score expression from at most ``sample`` distinct pairs of URL and known ``blocked`` (0 or 1), in hash
     order, each weighted by how often it occurs."""
-    known = (rows.filter(F.col(blocked).isNotNull()).select("_url", F.col(blocked).cast("double").alias("label"), *FEATURES)
-             .groupBy("_url", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    known = (rows.filter(F.col(blocked).isNotNull()).select("_url", F.col(blocked).cast("double").alias("label"), "suffix", *FEATURES)
+             .groupBy("_url", "label", "suffix", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
              .orderBy(F.xxhash64("_url"), "_url", "label").limit(sample))
-    known = written(known.coalesce(1), "labelled")
+    known = written(out_of_fold(written(known.coalesce(1), "labelled"), folds).coalesce(1).sortWithinPartitions("_url", "label"), "training")
     if known.select("label").distinct().count() < 2:
         return F.lit(0.0)
     learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, checkpointInterval=-1, weightCol="weight")
@@ -141,8 +167,9 @@ def judged(df: DataFrame, labelled: Column | None = None, rules: tuple[Rule, ...
     cut = with_parts(kept, "_given").withColumn("rule", matched(rules, "text")).withColumn("ruled", matched(rules, "verdict"))
     own = F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0) if labelled is None else labelled
     cut = with_features(cut.withColumn("blocked", own))
-    full = lookup_join(cut, written(suffix_statistics(cut, "blocked"), "suffixes"), ["suffix"], "left")
-    score = train(full, "blocked", sample)
+    folds = written(fold_statistics(cut, "blocked"), "folds")
+    full = lookup_join(cut, written(suffix_statistics(folds), "suffixes"), ["suffix"], "left")
+    score = train(full, "blocked", folds, sample)
     return full.withColumn("score", score).select(
         "_row", "host", "path", "rule", "score",
         F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))

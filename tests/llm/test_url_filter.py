@@ -83,3 +83,16 @@ def test_one_url_repeated_does_not_fill_the_sample(spark):
     got = U.judged(df, labelled=F.col("_row.known"), rules=(), sample=100).select("_row.known", "score").collect()
     assert len({r["score"] for r in got}) > 1
     assert all((r["score"] > 0) == (r["known"] == 1) for r in got)
+
+
+def test_own_label_is_not_a_feature(spark):
+    rows = [(f"http://h{i}.s{i % 3}.example/", f"s{i % 3}.example", float(i % 2) if i % 5 else None) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "_url string, suffix string, blocked double").withColumn("fold", U.fold())
+    folds = {}
+    for r in df.collect():
+        folds.setdefault(r["suffix"], []).append((r["fold"], r["blocked"]))
+    for r in U.out_of_fold(df.withColumn("suffix_blocked", F.lit(9.0)), U.fold_statistics(df, "blocked")).collect():
+        others = [b for f, b in folds[r["suffix"]] if f != r["fold"] and b is not None]
+        assert r["suffix_blocked"] == pytest.approx((sum(others) + 1) / (len(others) + 2))
+    random_labels = spark.createDataFrame([(f"http://a.only{i}.test/x", float(i * 7919 % 31 % 2)) for i in range(400)], "url string, known double")
+    assert U.judged(random_labels, labelled=F.col("_row.known"), rules=()).count() == 400
