@@ -3,8 +3,10 @@
 Every template is a sequence of words. The hash of every window of ``k`` words of a text is
 joined to the places where templates have it; each match votes for a diagonal, the text place
 less the template place. Diagonals of one template within ``SHIFT`` of each other (words put in or
-left out) are merged into one span, and a span that covers enough of its template is
-verified word by word. Phrases are templates as long as their window, so each vote is a whole
+left out) are merged into one span; spans of a template that follow each other in both text and template, with at most
+``GAP`` words between them, become one; and a span that covers enough of its template is verified word by word. A
+span of more than ``tile`` words, which only drifting repetition makes, is verified in overlapping tiles, each
+place of at most half a tile lying whole in one, so that work grows with the text and not with its square. Phrases are templates as long as their window, so each vote is a whole
 place. Texts drop hashes that no template has, by a bitmap of fixed size, before the join.
 
 Labels of whole templates come beside the labels of phrases. The score is the verified share of the
@@ -31,6 +33,7 @@ from siteloom.scale import written
 
 GRAM = 4
 SHIFT = 3
+GAP = 24
 COVERED = 0.5
 VERIFIED = 0.8
 
@@ -155,7 +158,33 @@ def spans(votes: DataFrame) -> DataFrame:
         .withColumn("span", F.sum("new").over(by)))
     places = F.array_distinct(F.flatten(F.collect_list("places")))
     return near.groupBy("row", "template", "span").agg(
-        F.min("first").alias("first"), F.max("end").alias("end"), (F.size(places) + F.max("k") - 1).alias("covered"))
+        F.min("first").alias("first"), F.max("end").alias("end"), places.alias("places"), F.max("k").alias("k"))
+
+
+def tile(length):
+    """Words that are verified at once for a template of ``length`` words."""
+    return 4 * length + 2 * GAP
+
+
+def chained(found: DataFrame, about: DataFrame) -> DataFrame:
+    """Spans that follow each other joined, with the template words they cover. A span inside an earlier one, or a single
+    window of a long template, joins nothing and is left out; spans too long for one comparison are cut into tiles."""
+    text_order = Window.partitionBy("row", "template").orderBy("first", F.desc("end"))
+    before = text_order.rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.col("end") <= F.max("end").over(before), F.lit(False))
+    single = (F.size("places") == 1) & (F.col("length") >= 8 * F.col("k"))
+    parts = (found.join(F.broadcast(about.select("template", "length")), "template").filter(~single)
+             .withColumn("within", within).filter(~F.col("within")).withColumn("at", F.array_min("places")))
+    apart = (F.col("first") - F.lag("end").over(text_order) > GAP) | (F.col("at") <= F.lag("at").over(text_order))
+    linked = parts.withColumn("chain", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(text_order))
+    places = F.array_distinct(F.flatten(F.collect_list("places")))
+    whole = linked.groupBy("row", "template", "length", "chain").agg(
+        F.min("first").alias("first"), F.max("end").alias("end"), (F.size(places) + (F.max("k") - 1) * F.count(F.lit(1))).alias("covered"))
+    size = tile(F.col("length"))
+    starts = F.when(F.col("end") - F.col("first") <= size, F.array("first")).otherwise(
+        F.sequence("first", F.col("end") - (size / 2).cast("int"), (size / 2).cast("int")))
+    return (whole.filter(F.col("covered") >= F.col("length") * COVERED)
+            .withColumn("first", F.explode(starts)).withColumn("end", F.least("end", F.col("first") + size)))
 
 
 def scanned(documents: DataFrame, doc_id: str = "doc_id", known: list[Template] | None = None) -> DataFrame:
@@ -180,8 +209,7 @@ def scanned(documents: DataFrame, doc_id: str = "doc_id", known: list[Template]
     def share(own: pd.Series, template: pd.Series) -> pd.Series:
         return pd.Series([aligned_share(list(o), words[t]) for o, t in zip(own, template, strict=True)], dtype=float)
 
-    likely = (spans(votes.filter("not phrase")).join(F.broadcast(about), "template")
-              .filter(F.col("covered") >= F.col("length") * COVERED))
+    likely = chained(spans(votes.filter("not phrase")), about).join(F.broadcast(about.select("template", "label")), "template")
     texts = rows.filter(F.size("hits") > 0).select("row", "origin", "near").dropDuplicates(["row"])
     start = F.greatest(F.col("first") - F.col("origin"), F.lit(0)).cast("int")
     checked = (likely.join(texts, "row").withColumn("own", F.slice("near", start + 1, (F.col("end") - F.col("first")).cast("int")))

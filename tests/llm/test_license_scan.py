@@ -38,6 +38,33 @@ def test_places_labels_and_changed_words(spark):
     assert sum(1 for _ in L.scanned(df).collect()) == 2 * len(TEXTS)
 
 
+def test_words_put_in_the_middle_keep_the_label(spark):
+    words = MIT.split()
+    texts = []
+    for n in range(4, 21):
+        for at in (12, len(words) // 2, len(words) - 12):
+            texts.append(" ".join([*words[:at], *[f"company{i}" for i in range(n)], *words[at:]]))
+    for n in (4, 9):  # at two places, and one clause cut out
+        texts.append(" ".join([*words[:18], *["acme"] * n, *words[18:40], *["inc"] * n, *words[40:]]))
+        texts.append(" ".join([*words[:20], *words[20 + n:]]))
+    apart = len(texts)
+    texts += [" ".join([*words[:25], *["far"] * 400, *words[25:]]), " ".join([*words[28:], *words[:28]]), MIT + " " + MIT]
+    rows = {r["doc_id"]: r for r in L.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(apart):
+        assert rows[i]["labels"] == ["mit-text"] and rows[i]["score"] >= 0.8, texts[i]
+    assert rows[apart]["labels"] == [] == rows[apart + 1]["labels"]
+    assert rows[apart + 2]["labels"] == ["mit-text"] and [s["share"] for s in rows[apart + 2]["spans"]] == [1.0, 1.0]
+
+
+def test_long_drifting_text_is_compared_in_tiles(spark):
+    drift = " ".join(" ".join(MIT.split()[i % 40:i % 40 + 5]) for i in range(30_000))
+    texts = [drift, drift + " " + MIT + " " + drift]
+    rows = {r["doc_id"]: r for r in L.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = len(L.words_in(MIT))
+    assert all(s["end"] - s["first"] <= L.tile(n) for r in rows.values() for s in r["spans"])
+    assert "mit-text" in rows[1]["labels"] and rows[1]["score"] == 1
+
+
 def test_query_on_given_tables(spark):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op7_license_scan"](spark, SF).collect()}
     for d in pq.read_table(f"{SF}/documents.parquet").to_pylist():
