@@ -18,7 +18,7 @@ RESULTS: dict[str, str] = {}
 #: The references that stand in the given pages; the ampersand last.
 ENTITIES = {"lt": "<", "gt": ">", "quot": "\"", "copy": "©", "middot": "·", "amp": "&"}
 #: Parts that a statement reads more than once.
-SHARED = {"scores", "near", "fused", "covers", "second", "ix_post", "text_rank", "fused_five", "covers_five", "near_cells"}
+SHARED = {"scores", "near", "fused", "head", "final", "covers", "second", "ix_post", "text_rank", "fused_five", "covers_five", "near_cells"}
 TS = "TIMESTAMP '2024-01-01 00:00:00'"
 NOW = "TIMESTAMP '2024-04-30 00:00:00'"
 SPLIT_EXT = r"(?s)^(.*[^/.][^/]*)(\.[^/.]*)$"
@@ -509,6 +509,7 @@ PARTS["scores"] = """SELECT qid, id, p.language, section, kind, round(sum(idf *
 PARTS["text_rank"] = """SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
     FROM scores"""
 RESULTS["bm25_topk"] = "SELECT qid, id, score, rank::INTEGER AS rank FROM text_rank WHERE rank <= 50"
+RESULTS["bm25_by_term"] = RESULTS["bm25_topk"]
 PARTS["ix_vec"] = hashed("ix_chunks", "id", "chunk")
 PARTS["q_vec"] = hashed("asked", "qid", "q")
 PARTS["near"] = """SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (

@@ -25,7 +25,7 @@ from siteloom.plans import search as P
 from siteloom.scale import checkpointed, scratch_path
 from siteloom.sources import landed as L
 from siteloom.sources import sinks as K
-from siteloom.sources.index_store import save_index
+from siteloom.sources.index_store import save_by_term, save_index, with_terms
 from siteloom.sources.versioned import VersionedTable
 from siteloom.streaming import streams as W
 
@@ -570,6 +570,14 @@ def bm25_topk(spark, sf):
     return R.bm25(_asked(spark, sf), index_of(spark, sf))
 
 
+@query
+def bm25_by_term(spark, sf):
+    """The same from the postings by term, whatever share of them the queries ask for."""
+    index, path = index_of(spark, sf), scratch_path(spark, "by-term")
+    save_by_term(index.postings, path, 64)
+    return R.bm25(_asked(spark, sf), with_terms(index, path), most=1.0)
+
+
 def _query_vectors(spark, sf):
     return B.with_vectors(_asked(spark, sf), "q")
 

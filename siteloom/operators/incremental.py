@@ -119,13 +119,13 @@ def drop_deleted(chunks: DataFrame, tombstones: DataFrame, soft_delete: bool = T
     """Chunks without those of deleted parents; only with soft delete on."""
     if not soft_delete:
         return chunks
-    gone = tombstones.filter("deleted_at is not null").select("parent_id").distinct()
+    gone = checkpointed(tombstones.filter("deleted_at is not null").select("parent_id").distinct())
     return lookup_join(chunks, gone, ["parent_id"], "left_anti")
 
 
 def refresh_index(chunks: DataFrame, rebuilt: DataFrame, changed: DataFrame) -> DataFrame:
     """All chunks of a changed parent are replaced by its rebuilt ones."""
-    parents = changed.select("parent_id").distinct()
+    parents = checkpointed(changed.select("parent_id").distinct())
     kept = lookup_join(chunks, parents, ["parent_id"], "left_anti")
     return kept.unionByName(rebuilt)
 

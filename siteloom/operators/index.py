@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import tokens
-from siteloom.scale import lookup_join
+from siteloom.scale import lookup_join, written
 
 CHUNK_SIZE, CHUNK_OVERLAP = 2000, 500
 EMBED_DIM = 256
@@ -26,8 +26,8 @@ def merge_inserts(docs: DataFrame, ocr_text: DataFrame) -> DataFrame:
 
     Only the image texts are grouped; a document's own text moves at most once.
     """
-    inserts = ocr_text.groupBy("parent_id").agg(F.array_sort(F.collect_list(
-        F.struct("content_offset", "ord", "text"))).alias("_inserts"))
+    inserts = written(ocr_text.groupBy("parent_id").agg(F.array_sort(F.collect_list(
+        F.struct("content_offset", "ord", "text"))).alias("_inserts")), "inserts")
     joined = lookup_join(docs, inserts, ["parent_id"], "left")
     length = F.length("content")
 
@@ -153,12 +153,15 @@ def project_index(chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """The tables a query reads."""
+    """The tables a query reads. ``by_term``, if there, holds the postings once more, in ``shelves`` folders by
+    the hash of (field, term) and sorted by them."""
 
     chunks: DataFrame
     postings: DataFrame
     term_df: DataFrame
     corpus_stats: DataFrame
+    by_term: DataFrame | None = None
+    shelves: int = 0
 
 
 def _fields(chunks: DataFrame) -> DataFrame:
@@ -190,6 +193,11 @@ def postings(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
         F.count("*").cast("int").alias("tf"))
 
 
+def shelf(shelves: int) -> Column:
+    """The folder that postings of (field, term) stand in."""
+    return F.pmod(F.xxhash64("field", "term"), F.lit(shelves)).cast("int").alias("shelf")
+
+
 def doc_len(chunks: DataFrame) -> DataFrame:
     return _fields(chunks).select("id", "field", "dl")
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import sentences, tokens
-from siteloom.operators.index import SEARCH_FIELDS, SearchIndex
+from siteloom.operators.index import SEARCH_FIELDS, SearchIndex, shelf
 from siteloom.scale import checkpointed, lookup_join, top_k
 from siteloom.schemas import FILTER_FIELDS
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 RERANK_DEPTH = 50
+MOST_SHELVES, MAX_TERMS = 0.25, 500
 # Weights of the passage, its best sentence and its title in the
 # second-stage score, which runs from 0 to 4.
 RERANK_WEIGHTS = {"chunk": 2.0, "sentence": 1.2, "title": 0.8}
@@ -43,13 +44,37 @@ def weighted_terms(queries: DataFrame, index: SearchIndex) -> DataFrame:
                     (idf * F.col("qtf")).alias("weight"), *[f"_{f}" for f in FILTER_FIELDS]))
 
 
+def asked_postings(index: SearchIndex, weights: DataFrame, most: float = MOST_SHELVES) -> DataFrame:
+    """The postings to read for weighted query terms.
+
+    Those by term, if there are any and the terms stand on at most the share ``most`` of the shelves: only these folders
+    are listed, and for up to ``MAX_TERMS`` terms the filter on them is pushed down, ten at a time as
+    that is how many Parquet compares one by one, so sorted row groups without them are skipped. Their matches are then
+    shuffled by chunk. Else all postings by id, which need no shuffle.
+    """
+    if index.by_term is None:
+        return index.postings
+    wanted = checkpointed(weights.select("term", shelf(index.shelves)).distinct())
+    shelves = sorted(r[0] for r in wanted.select("shelf").distinct().collect())  # at most index.shelves
+    if len(shelves) > most * index.shelves:
+        return index.postings
+    rows = index.by_term.filter(F.col("shelf").isin(shelves))
+    terms = sorted({r[0] for r in wanted.select("term").distinct().limit(MAX_TERMS + 1).collect()})
+    if terms and len(terms) <= MAX_TERMS:
+        tens = [F.col("term").isin(terms[i:i + 10]) for i in range(0, len(terms), 10)]
+        while len(tens) > 1:  # a balanced tree of alternatives
+            tens = [tens[i] | tens[i + 1] if i + 1 < len(tens) else tens[i] for i in range(0, len(tens), 2)]
+        rows = rows.filter(tens[0])
+    return rows.drop("shelf")
+
+
 def bm25_scores(queries: DataFrame, index: SearchIndex, weights: DataFrame | None = None,
-                facets: bool = False) -> DataFrame:
+                facets: bool = False, most: float = MOST_SHELVES) -> DataFrame:
     """(qid, id, score) of every matching chunk that passes the query's
     filters, summed over the searchable fields; with the facet fields on
     request."""
     weights = checkpointed(weighted_terms(queries, index)) if weights is None else weights
-    hits = lookup_join(index.postings, weights, ["field", "term"], "inner")
+    hits = lookup_join(asked_postings(index, weights, most), weights, ["field", "term"], "inner")
     for f in FILTER_FIELDS:
         hits = hits.filter(F.col(f"_{f}").isNull() | (F.col(f) == F.col(f"_{f}")))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (
@@ -57,9 +82,9 @@ def bm25_scores(queries: DataFrame, index: SearchIndex, weights: DataFrame | Non
     return hits.groupBy("qid", "id", *(FILTER_FIELDS if facets else ())).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25(queries: DataFrame, index: SearchIndex, k: int = 50) -> DataFrame:
+def bm25(queries: DataFrame, index: SearchIndex, k: int = 50, most: float = MOST_SHELVES) -> DataFrame:
     """(qid, id, score, rank): the best k chunks per query."""
-    return top_k(bm25_scores(queries, index), ["qid"], ranked_by(), k)
+    return top_k(bm25_scores(queries, index, most=most), ["qid"], ranked_by(), k)
 
 
 def text_ranks(scores: DataFrame, neighbours: DataFrame, depth: int) -> DataFrame:

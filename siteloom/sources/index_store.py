@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.operators import index as I
 
 BUCKET_BYTES = 64 * 1024 * 1024
+SHELVES_PER_BUCKET, MAX_SHELVES = 8, 4096
+FILE_POSTINGS = 50_000_000
 _POSTINGS_DDL = ("id string, language string, section string, kind string, field string, dl int, "
                  "term string, tf int")
 
 
-def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> I.SearchIndex:
+def save_index(chunks: DataFrame, path: str, buckets: int | None = None, by_term: bool = False) -> I.SearchIndex:
     """Write the index below ``path`` and return it as read back.
 
     Postings are bucketed by id: scoring, which groups by (query, id), then
-    reads whole groups per task and needs no exchange.
+    reads whole groups per task and needs no exchange. With ``by_term`` they are written
+    by term too, for small query batches.
     """
     spark = chunks.sparkSession
     split = chunks.repartition("parent_id", (chunks["ord"] / 512).cast("int"))
@@ -29,9 +34,34 @@ def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> I.Se
     lengths = posted.select("id", "field", "dl").distinct()
     I.term_df(posted).write.mode("overwrite").parquet(f"{path}/term_df")
     I.corpus_stats(lengths).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    if by_term:
+        save_by_term(posted, path, min(MAX_SHELVES, SHELVES_PER_BUCKET * buckets))
     return load_index(spark, path, buckets)
 
 
+def save_by_term(posted: DataFrame, path: str, shelves: int) -> None:
+    """Write postings by term. Postings of a frequent term are dealt over several files of its shelf: adaptive
+    execution cuts large partitions and joins small ones."""
+    dealt = posted.withColumn("shelf", I.shelf(shelves)).hint("rebalance", "shelf")
+    (dealt.sortWithinPartitions("shelf", "field", "term").write.mode("overwrite")
+     .option("maxRecordsPerFile", FILE_POSTINGS).partitionBy("shelf").parquet(f"{path}/by_term"))
+    sizes = posted.sparkSession.createDataFrame([(shelves,)], "shelves int")
+    sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/shelves")
+
+
+def with_terms(index: I.SearchIndex, path: str) -> I.SearchIndex:
+    """The index with the postings by term that stand below ``path``."""
+    spark = index.chunks.sparkSession
+    shelves = spark.read.schema("shelves int").parquet(f"{path}/shelves").first()[0]
+    read = spark.read.schema(f"{_POSTINGS_DDL}, shelf int").parquet(f"{path}/by_term")
+    return replace(index, by_term=read, shelves=shelves)
+
+
+def _has_terms(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shelves/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _bucket_count(stored: DataFrame) -> int:
     """A bucket is one task when it is read, so their number follows the text."""
     size = stored.agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0))).first()[0]
@@ -44,12 +74,13 @@ def load_index(spark: SparkSession, path: str, buckets: int) -> I.SearchIndex:
     if not spark.catalog.tableExists(_table(path)):
         spark.sql(f"CREATE TABLE {_table(path)} ({_POSTINGS_DDL}) USING parquet CLUSTERED BY (id) "
                   f"INTO {int(buckets)} BUCKETS LOCATION '{path}/postings'")
-    return I.SearchIndex(
+    index = I.SearchIndex(
         chunks=spark.read.parquet(f"{path}/chunks"),
         postings=spark.table(_table(path)),
         term_df=spark.read.schema("field string, term string, df bigint").parquet(f"{path}/term_df"),
         corpus_stats=spark.read.schema("field string, n bigint, avgdl double").parquet(
             f"{path}/corpus_stats"))
+    return with_terms(index, path) if _has_terms(spark, path) else index
 
 
 def _table(path: str) -> str:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,40 @@ def test_scoring_a_stored_index_needs_no_exchange(spark, small_index):
     assert "Exchange hashpartitioning" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_postings_by_term_are_read_where_the_terms_stand(spark):
+    from siteloom.operators import index as I
+    from siteloom.operators import retrieve as R
+    rows = [(f"p{i}", f"common word{i} Word{i % 7} other{i % 3} words. " * 3, 0) for i in range(60)]
+    path = scratch_path(spark, "index")
+    index = save_index(index_build.index_rows(sources(spark, rows)), path, 4, by_term=True)
+    assert index.shelves == 32 and load_index(spark.newSession(), path, 4).shelves == 32
+    plain = replace(index, by_term=None)
+    fields = ["term", "tf", "dl", "id", "field", "language"]
+    assert sorted(index.by_term.select(*fields).collect()) == sorted(index.postings.select(*fields).collect())
+
+    def scores(found):
+        return sorted(tuple(r) for r in found.collect())
+    few = spark.createDataFrame([(1, "word3 common", None, None, None, 20, 0), (2, "word5", "fr", None, None, 20, 0),
+                                 (3, "nowhere", None, None, None, 20, 0)], QUERIES)
+    weights = R.weighted_terms(few, index)
+    read = R.asked_postings(index, weights)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    asked = {r[0] for r in weights.select(I.shelf(32)).distinct().collect()}
+    assert "shelf" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(term, [common,word3" in plan.split("PushedFilters: [")[1]
+    files = {r[0].split("/shelf=")[1].split("/")[0] for r in read.select(F.input_file_name()).distinct().collect()}
+    assert files <= {str(s) for s in asked} and 0 < len(asked) < 8
+    assert {r.term for r in read.select("term").distinct().collect()} == {"common", "word3"} | {
+        r.term for r in weights.select("term").distinct().collect()}
+    assert scores(R.bm25_scores(few, index, facets=True)) == scores(R.bm25_scores(few, plain, facets=True)) != []
+    every = spark.createDataFrame([(i, f"word{i} other{i % 3} common", None, None, None, 20, 0) for i in range(60)], QUERIES)
+    assert R.asked_postings(index, R.weighted_terms(every, index)) is index.postings
+    assert scores(R.bm25(every, index, most=1.0)) == scores(R.bm25(every, plain))
+    nothing = spark.createDataFrame([], QUERIES)
+    assert R.bm25_scores(nothing, index).count() == 0
+    response = search.search(few, index)
+    assert {r.qid for r in response.results.collect()} >= {1}
+
+
 def test_a_crawl_takes_wanted_pages_and_links_assets(spark):
     def page(body):
         return f"<title>T</title><p>{body} with enough words to be kept as text.</p>"
