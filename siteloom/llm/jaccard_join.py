@@ -14,7 +14,8 @@ Components need links, not all pairs: a few rounds first compare each class with
 leader of its posting lists, so groups of near copies fall together; then every
 remaining candidate pair across two components is compared. No link between components
 is lost, and inside a component no further pair is made. Lists of frequent
-tokens are dealt over ``SALTS`` chunks in the first round; later rounds see one class per component.
+tokens are dealt over ``SALTS`` chunks in the first round; the second sees one class per component. Lists of
+more than ``BLOCK`` classes are compared across components block by block.
 
 Null and empty texts, and texts without words, have an empty set and are linked with
 nothing. Repeated rows are in one class. A null id can be a member, never a component's name
@@ -40,6 +41,8 @@ SHINGLE = 5
 PERCENT = 80
 SALTS = 64
 LEADER_ROUNDS = 2
+#: Classes of one list that a task compares with as many others; a longer list is split.
+BLOCK = 1024
 #: Statistics window, least count in it, and the number of most frequent tokens told to all tasks.
 WINDOW_TOKENS = 4_000_000
 FLOOR = 4
@@ -254,6 +257,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(meets).filter(similar).select("a", "b")
 
 
+def across_components(placed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of different components that one list lets meet. A list of more than ``block`` classes is
+    dealt over blocks, and every two blocks meet in a group of their own."""
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / block)
+    open_ = written(placed.join(mixed.filter("low <> high").select("token", blocks.alias("blocks")), "token")
+                    .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))), "open")
+    side = lambda s, i, j: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root")], i, j)
+    own = F.col("own")
+    x = side("a", own.alias("i"), F.explode(F.sequence(own, F.col("blocks") - 1)).alias("j"))
+    y = side("b", F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("i"), own.alias("j"))
+    once = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
+    found = x.join(y, ["token", "i", "j"]).filter(once & (F.col("root_a") != F.col("root_b")) & may_meet("a", "b", percent))
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def leaders(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     """At most one partner (b) for each class (a): the leader that most of its lists have in common with it. The
     leader of a list is the class with most tokens in common with others, which stands in the middle of its
@@ -315,16 +334,10 @@ def similar_components(documents: DataFrame, doc_id: str = "doc_id", k: int = SH
                  .select("token", F.lit(0).alias("chunk"), "m.*"))
 
     placed = shared.select("token", "node", "n", "pos").join(groups, "node")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_ = written(placed.join(mixed.select("token"), "token", "left_semi"), "open")
-    side = lambda s: open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root")])
-    x, y = side("a").alias("x"), side("b").alias("y")
-    across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("node_a") < F.col("node_b"))
-                     & (F.col("root_a") != F.col("root_b")) & may_meet("a", "b", percent))
-              .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    groups = merged(groups, linked(enough_in_common(written(across, "across"), shared, percent)))
-
-    named = groups.join(classes, "node").groupBy("root").agg(F.min("class_id").alias("component_id"))
+    across = written(across_components(placed, percent), "across")
+    groups = merged(groups, linked(enough_in_common(across, shared, percent)))
+
+    named = written(groups.join(classes, "node").groupBy("root").agg(F.min("class_id").alias("component_id")), "named")
     member = groups.join(named, "root").select("node", "root", "component_id")
     known = classes.join(member, "node", "left").select("node", "class_id", F.coalesce("root", "node").alias("component"),
                                                         F.coalesce("component_id", "class_id").alias("component_id"))

@@ -92,6 +92,19 @@ def test_hot_near_copies_with_frequent_tokens(spark, monkeypatch):
     assert ours(J.similar_components(spark.createDataFrame(documents, "doc_id long, text string"))) == brute(documents)
 
 
+def test_blocks_of_long_lists(spark):
+    rng = random.Random(4)
+    placed = [(t, node, 100, 0, node % 5 if t else 7) for t in range(4) for node in rng.sample(range(1000), 60)]
+    df = spark.createDataFrame(placed, "token long, node long, n int, pos int, root long")
+    lists = {}
+    for t, node, _, _, root in placed:
+        lists.setdefault(t, []).append((node, root))
+    wanted = {(min(a, b), max(a, b)) for l in lists.values() for a, x in l for b, y in l if x != y}
+    for block in (7, 60, 1000):
+        found = [tuple(r) for r in J.across_components(df, 80, block).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
 def test_edge_rows(spark):
     documents = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "two one"), (7, "a b c d e"), (8, "A B C D E"),
                  (8, "A B C D E"), (8, "other text of six words here"), (None, "a b c d e"), (None, "only this nameless row is so"),
