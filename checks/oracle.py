@@ -470,6 +470,9 @@ RESULTS["embed_udf"] = """SELECT id, length(chunk)::DOUBLE AS n_chars,
     (length(chunk) - length(replace(chunk, ' ', '')))::DOUBLE AS n_blanks,
     (length(chunk) - length(replace(chunk, chr(10), '')))::DOUBLE AS n_breaks FROM doc_chunks"""
 PARTS["merged_chunks"] = chunked("merged")
+RESULTS["embed_rejects"] = """SELECT id, CASE WHEN contains(chunk, chr(10)) THEN length(chunk)::DOUBLE END AS n_chars,
+    CASE WHEN NOT contains(chunk, chr(10)) THEN 'ValueError: a single line' END AS error
+    FROM merged_chunks"""
 RESULTS["index_projection"] = """SELECT id, parent_id, ord, sha256(chunk) AS chunk_hash, title, source_url, language,
     section, kind, content_hash, 256 AS dim FROM merged_chunks"""
 
@@ -540,6 +543,7 @@ PARTS["fused"] = """SELECT qid, id, score, row_number() OVER (PARTITION BY qid O
         SELECT qid, id, rank FROM text_rank UNION ALL SELECT qid, id, rank FROM near) GROUP BY ALL)
     QUALIFY rank <= 1050"""
 RESULTS["hybrid_rrf"] = "SELECT qid, id, score, rank::INTEGER AS rank FROM fused"
+RESULTS["hybrid_cells"] = RESULTS["hybrid_rrf"]
 RESULTS["facet_counts"] = """SELECT qid, field, value, n AS count FROM (
     SELECT qid, field, value, count(*) AS n,
       row_number() OVER (PARTITION BY qid, field ORDER BY count(*) DESC, value) AS r FROM (
@@ -621,6 +625,14 @@ PARTS["full_page"] = """SELECT p.qid, p.rn, p.score, p.reranker, p.caption, c.*
     JOIN ix_chunks c USING (id) WHERE p.rn > p.skip AND p.rn <= p.skip + p.top"""
 PARTS["full_cards"] = collapsed("full_page")
 RESULTS["search_response"] = card("full_cards")
+PARTS["by_parent"] = """SELECT *, min(rn) OVER (PARTITION BY qid, parent) AS first_rn,
+      row_number() OVER (PARTITION BY qid, parent ORDER BY coalesce(reranker, 0) DESC, rn) AS best
+    FROM (SELECT *, regexp_replace(id, '_[0-9]+$', '') AS parent FROM listed WHERE rn <= 1050)"""
+PARTS["listed_first"] = """SELECT qid, id, score, reranker, caption, skip, top,
+      row_number() OVER (PARTITION BY qid ORDER BY first_rn) AS rn FROM by_parent WHERE best = 1"""
+PARTS["first_page"] = PARTS["full_page"].replace("FROM listed", "FROM listed_first")
+PARTS["first_cards"] = collapsed("first_page")
+RESULTS["search_collapsed"] = card("first_cards")
 PARTS["candidates"] = """SELECT DISTINCT qid, c.id, c.language, c.section, c.kind FROM (
       SELECT qid, id FROM scores UNION ALL SELECT qid, id FROM near UNION ALL SELECT qid, id FROM everything)
     JOIN ix_chunks c USING (id)"""

@@ -507,6 +507,18 @@ def embed_udf(spark, sf):
                                for i, n in enumerate(("n_chars", "n_blanks", "n_breaks"))])
 
 
+@query
+def embed_rejects(spark, sf):
+    """A model that fails on a batch with any passage of a single line: those alone are rejected."""
+    def fails(texts: pd.Series) -> list[list[float]]:
+        if not texts.str.contains("\n", regex=False).all():
+            raise ValueError("a single line")
+        return [[float(len(t))] for t in texts]
+    rows, rejected = B.index_rows_and_rejects(_all_sources(spark, sf), fails, D.ocr_text(spark, sf))
+    made = rows.select("id", F.col("vector")[0].cast("double").alias("n_chars"), F.lit(None).cast("string").alias("error"))
+    return made.unionByName(rejected.select("id", F.lit(None).cast("double").alias("n_chars"), "error"))
+
+
 @query
 def index_projection(spark, sf):
     rows = B.index_rows(_all_sources(spark, sf), D.ocr_text(spark, sf))
@@ -613,6 +625,16 @@ def hybrid_rrf(spark, sf):
     return P.fused(R.text_ranks(scores, near, P.DEPTH), near)
 
 
+@query
+def hybrid_cells(spark, sf):
+    """Fused ranks with neighbours read from cells; all cells are probed, so they are exact."""
+    index = index_of(spark, sf)
+    centres = V.chosen_centres(index.chunks, 12)
+    cells = V.Cells(V.write_cells(index.chunks, centres, scratch_path(spark, "cells")), centres, 12)
+    scores, near, _ = P.text_and_neighbours(_asked(spark, sf), index, cells=cells)
+    return P.fused(R.text_ranks(scores, near, P.DEPTH), near)
+
+
 def _reranked(spark, sf, k=P.NEIGHBOURS):
     index = index_of(spark, sf)
     scores, near, weights = P.text_and_neighbours(_asked(spark, sf), index, k)
@@ -688,6 +710,12 @@ def search_response(spark, sf):
     return P.search(D.queries(spark, sf), index_of(spark, sf)).results
 
 
+@query
+def search_collapsed(spark, sf):
+    """Pages of cards instead of chunks."""
+    return P.search(D.queries(spark, sf), index_of(spark, sf), collapse_first=True).results
+
+
 @query
 def search_facets(spark, sf):
     return P.search(D.queries(spark, sf), index_of(spark, sf)).facets

@@ -144,6 +144,37 @@ def embed_udf(df: DataFrame, fn: Callable[[pd.Series], list[list[float]]],
     return df.withColumn("vector", F.pandas_udf(run, "array<float>")(F.col(column)))
 
 
+def _isolated(fn: Callable[[pd.Series], list[list[float]]], texts: pd.Series) -> pd.DataFrame:
+    """Vector and error of every text. A batch that fails is halved until the failing texts stand alone, so few
+    of them cost few further calls."""
+    vectors, errors = [None] * len(texts), [None] * len(texts)
+    todo = [(0, len(texts))] if len(texts) else []
+    while todo:
+        lo, hi = todo.pop()
+        try:
+            found = list(fn(texts.iloc[lo:hi].reset_index(drop=True)))
+            if len(found) != hi - lo:
+                raise ValueError(f"{len(found)} vectors for {hi - lo} texts")
+            vectors[lo:hi] = [None if v is None else np.asarray(v, dtype=np.float32) for v in found]
+        except Exception as error:  # a user's model may raise anything
+            if hi - lo > 1:
+                todo += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
+            else:
+                errors[lo] = f"{type(error).__name__}: {error}"
+    return pd.DataFrame({"vector": vectors, "error": errors})
+
+
+def embed_tolerant(df: DataFrame, fn: Callable[[pd.Series], list[list[float]]], column: str = "chunk") -> DataFrame:
+    """As ``embed_udf``, with a column ``error``: a text the model fails on gets no vector and the reason, and the
+    other texts of its batch keep theirs. A null text goes to the model like any other."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _isolated(fn, batch)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    made = F.pandas_udf(run, "vector array<float>, error string")(F.col(column))
+    return df.withColumn("_made", made).select(*df.columns, "_made.vector", "_made.error")
+
+
 def project_index(chunks: DataFrame) -> DataFrame:
     """Index rows: a passage with its vector and its parent's fields."""
     wanted = ["id", "parent_id", "ord", "chunk", "vector", "title", "source_url", "language",

@@ -7,6 +7,7 @@ batches, so pairs are never emitted: a task returns at most queries * k rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -207,6 +208,16 @@ def knn_approx(queries: DataFrame, placed: DataFrame, centres: np.ndarray, probe
     return knn(probing, placed.filter(F.col("cell").isin(used)), k)
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Vectors laid out by cell (``write_cells``), the centres, and how many cells a query reads; ``probes_for``
+    gives a number that reaches a wanted recall."""
+
+    placed: DataFrame
+    centres: np.ndarray
+    probes: int
+
+
 def recalls(asked: DataFrame, placed: DataFrame, centres: np.ndarray, k: int = 50) -> list[float]:
     """Share of the exact neighbours of ``asked`` that lie in the nearest 1, 2, ... cells; just these
     neighbours are found by ``knn_approx`` with so many probes."""

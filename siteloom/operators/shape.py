@@ -60,6 +60,22 @@ def collapse(page: DataFrame) -> DataFrame:
             .drop("_key", "_best", "first_rn"))
 
 
+def first_per_parent(ranked: DataFrame) -> DataFrame:
+    """One row per parent, before paging: it stands where the first chunk of its parent stood and holds the best
+    reranked one, so that a page has as many cards as asked for.
+
+    ``rn`` is counted anew over parents. The parent is read from the chunk id (parent, '_', number), so no stored
+    field is fetched. Lists are limited before, so the windows stay small.
+    """
+    group = Window.partitionBy("qid", "_parent")
+    best = group.orderBy(F.coalesce("reranker", F.lit(0.0)).desc(), F.asc("rn"))
+    return (ranked.withColumn("_parent", F.regexp_replace("id", "_[0-9]+$", ""))
+            .withColumns({"_best": F.row_number().over(best), "_first": F.min("rn").over(group)})
+            .filter("_best = 1")
+            .withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("_first")))
+            .drop("_parent", "_best", "_first"))
+
+
 def result_card(df: DataFrame) -> DataFrame:
     """The fields of a result card. Title and URL are decoded for display."""
     title = F.coalesce(F.nullif(percent_decode(F.coalesce("title", F.lit(""))), F.lit("")), F.lit(UNTITLED))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.text import media_type
 from siteloom.operators import index as I
+from siteloom.scale import written
 
 Embedder = Callable[[pd.Series], list[list[float]]]
 
@@ -22,9 +23,20 @@ def with_vectors(df: DataFrame, column: str, fn: Embedder | None = None) -> Data
 def index_rows(sources: DataFrame, ocr_text: DataFrame | None = None, boundary: bool = False,
                fn: Embedder | None = None) -> DataFrame:
     """Chunk rows of sources (parent_id, title, ..., content)."""
+    return I.project_index(with_vectors(passages(sources, ocr_text, boundary), "chunk", fn))
+
+
+def passages(sources: DataFrame, ocr_text: DataFrame | None = None, boundary: bool = False) -> DataFrame:
     merged = sources if ocr_text is None else I.merge_inserts(sources, ocr_text)
-    chunks = I.nonempty(I.chunk_text(merged, boundary=boundary))
-    return I.project_index(with_vectors(chunks, "chunk", fn))
+    return I.nonempty(I.chunk_text(merged, boundary=boundary))
+
+
+def index_rows_and_rejects(sources: DataFrame, fn: Embedder, ocr_text: DataFrame | None = None,
+                           boundary: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(index rows, rejected passages with ``error``) where a user's model may fail on some texts; the vectors are
+    written, so the model runs once."""
+    made = written(I.embed_tolerant(passages(sources, ocr_text, boundary), fn), "vectors")
+    return I.project_index(made.filter("error is null")), made.filter("error is not null").drop("vector")
 
 
 def page_sources(pages: DataFrame) -> DataFrame:

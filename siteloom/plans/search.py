@@ -42,13 +42,16 @@ def prepare(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def text_and_neighbours(asked: DataFrame, index: SearchIndex, k: int = NEIGHBOURS,
                         fn: Embedder | None = None,
-                        facets: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+                        facets: bool = False,
+                        cells: V.Cells | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(text scores, neighbours, weighted terms) of the non-blank queries. The
-    scores are written: ranks, neighbour ranks and facets all read them."""
+    scores are written: ranks, neighbour ranks and facets all read them. With ``cells`` neighbours come
+    from the probed cells only, else from all vectors."""
     weights = checkpointed(R.weighted_terms(asked, index))
     scores = written(R.bm25_scores(asked, index, weights, facets), "scores")
     vectors = with_vectors(asked.select("qid", "q", *FILTER_FIELDS), "q", fn)
-    return scores, checkpointed(V.knn(vectors, index.chunks, k)), weights
+    near = V.knn_approx(vectors, cells.placed, cells.centres, cells.probes, k) if cells else V.knn(vectors, index.chunks, k)
+    return scores, checkpointed(near), weights
 
 
 def fused(ranks: DataFrame, neighbours: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -111,17 +114,24 @@ def rerank_order(ranked: DataFrame, terms: DataFrame, index: SearchIndex) -> Dat
     return scored.unionByName(rest.select(*_PAGE), allowMissingColumns=True)
 
 
-def search(queries: DataFrame, index: SearchIndex, fn: Embedder | None = None) -> Response:
-    """Filter, retrieve, fuse, rerank, count, page and collapse a query batch."""
+def search(queries: DataFrame, index: SearchIndex, fn: Embedder | None = None,
+           cells: V.Cells | None = None, collapse_first: bool = False) -> Response:
+    """Filter, retrieve, fuse, rerank, count, page and collapse a query batch.
+
+    Pages count chunks, and a page may collapse to fewer cards; with ``collapse_first`` they count cards, drawn
+    from the first ``DEPTH`` chunks of a query. ``cells`` makes the vector leg approximate.
+    """
     accepted, rejected = prepare(queries)
     accepted = checkpointed(accepted)
     asked, blank = accepted.filter("q <> ''"), accepted.filter("q = ''")
-    scores, neighbours, weights = text_and_neighbours(asked, index, fn=fn, facets=True)
+    scores, neighbours, weights = text_and_neighbours(asked, index, fn=fn, facets=True, cells=cells)
     ranks = checkpointed(R.text_ranks(scores, neighbours, DEPTH))
     ranked = rerank_order(checkpointed(fused(ranks, neighbours)), R.term_lists(weights), index)
     everything, blank_counts = match_all(blank, index)
     listed = ranked.unionByName(everything.withColumn("rn", F.col("rank")).select(*_PAGE),
                                 allowMissingColumns=True)
+    if collapse_first:
+        listed = S.first_per_parent(listed)
     page = S.page_slice(lookup_join(listed, accepted.select("qid", "skip", "top"), ["qid"], "inner"))
     cards = S.result_card(S.collapse(with_chunks(checkpointed(page), index)))
     counts = candidate_counts(scores, ranks, neighbours, index).unionByName(blank_counts)

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,35 @@ def test_user_vectors_of_wrong_size_become_null(spark):
     assert rows == {"a": [1.0, 2.0], "b": None, "c": None}
 
 
+def test_a_failing_text_loses_only_itself(spark):
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if texts.str.startswith("bad").any():
+            raise KeyError("bad text")
+        return [[float(len(t)), 1.0] for t in texts]
+    texts = pd.Series([f"good {i}" for i in range(1000)])
+    texts[[3, 700]] = "bad"
+    made = I._isolated(model, texts)
+    assert made.index[made["error"].notna()].tolist() == [3, 700] == made.index[made["vector"].isna()].tolist()
+    assert made["error"][3] == "KeyError: 'bad text'" and made["vector"][4].tolist() == [6.0, 1.0]
+    assert len(calls) <= 1 + 2 * 2 * 10
+    short = I._isolated(lambda t: [[0.0]], pd.Series(["a", "b"]))
+    assert short["error"].isna().all()
+    assert I._isolated(lambda t: [], pd.Series(["a"]))["error"].tolist() == ["ValueError: 0 vectors for 1 texts"]
+    assert I._isolated(model, pd.Series([], dtype=object)).empty
+
+    def picky(texts):
+        if texts.isna().any() or (texts == "").any():
+            raise ValueError("nothing to read")
+        return [[float(len(t))] for t in texts]
+    df = spark.createDataFrame([(1, "ab", "x"), (2, None, "x"), (3, "", "x"), (4, "abcd", "x")], "id int, chunk string, error string")
+    rows = I.embed_tolerant(df.drop("error"), picky).orderBy("id").collect()
+    assert [(r["id"], r["vector"], r["error"]) for r in rows] == [
+        (1, [2.0], None), (2, None, "ValueError: nothing to read"), (3, None, "ValueError: nothing to read"), (4, [4.0], None)]
+
+
 def test_postings_move_passages_once(spark):
     df = spark.createDataFrame([("a", "x y x", "t", "en", "s", "doc")],
                                "id string, chunk string, title string, language string, section string, kind string")

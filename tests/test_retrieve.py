@@ -116,6 +116,14 @@ def test_collapse_keeps_one_row_per_key(spark):
         assert [rn for _, rn in first] == [r.rn for r in sorted((r for r in found if r.qid == q), key=lambda r: r.pos)]
 
 
+def test_pages_of_cards_are_full(spark):
+    rows = [(1, f"p{i % 4}_{i}", i + 1, float(i % 3)) for i in range(20)] + [(2, "a_b_7", 1, None), (2, "a_b_8", 2, None), (2, "a", 3, None)]
+    df = spark.createDataFrame(rows, "qid int, id string, rn int, reranker double")
+    found = [tuple(r) for r in S.first_per_parent(df).select("qid", "rn", "id").orderBy("qid", "rn").collect()]
+    assert found == [(1, 1, "p0_8"), (1, 2, "p1_5"), (1, 3, "p2_2"), (1, 4, "p3_11"), (2, 1, "a_b_7"), (2, 2, "a")]
+    assert S.first_per_parent(df.limit(0)).collect() == []
+
+
 def test_collapse_of_a_few_given_rows(spark):
     rows = [(1, 1, "a", "s", 1.0), (1, 2, "b", "s", 3.0), (1, 3, "a", "s", 2.0), (1, 4, None, "http://h/%C3%A9", None),
             (1, 5, "", "http://h/é", None), (1, 6, None, None, 9.0), (1, 7, None, "", 9.0), (1, 8, "b", "s", 3.0)]
