@@ -1,11 +1,14 @@
 """Index build: splitting, merging, vectors."""
 
+import hashlib
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siteloom.functions import text as X
 from siteloom.operators import index as I
 
 LENGTHS = [0, 1, 500, 501, 2000, 2001, 3500, 3501, 9000]
@@ -111,3 +114,52 @@ def test_postings_move_passages_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     rows = I.postings(df).filter(F.col("field") == "chunk").select("term", "tf", "dl").collect()
     assert sorted(map(tuple, rows)) == [("x", 2, 3), ("y", 1, 3)]
+
+
+def plain_words(text):
+    found, word = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalnum():
+            word += c
+        elif word:
+            found, word = [*found, word], ""
+    return found
+
+
+def test_words_are_hashed_once_per_batch_and_not_in_the_plan(spark):
+    values = random.Random(4)
+    rows = [(i, "".join(values.choice("ab ÉÑ.9\u0644\n") for _ in range(values.randint(0, 60)))) for i in range(300)] + [(300, None)]
+    found = I.embed_hash(spark.createDataFrame(rows, "i int, chunk string"), dim=16)
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        sums = [0] * 16
+        for word in plain_words(r.chunk):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            sums[int(digest[:8], 16) % 16] += -1 if digest[8] >= "8" else 1
+        norm = sum(x * x for x in sums) ** 0.5 or 1.0
+        assert r.vector == pytest.approx([x / norm for x in sums], abs=1e-6)
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 7, 1000])
+def test_postings_are_counted_without_a_table_of_all_terms(spark, monkeypatch, rows_at_once):
+    """Keys may repeat and be null, in one batch or across several; rows of one key and field length count together."""
+    monkeypatch.setattr(I, "POSTING_ROWS", rows_at_once)
+    values = random.Random(5)
+    rows = [(values.choice(["a", "b", "c_1", None, ""]), values.choice(["x y x", " x, y ", "", "z", None, "É é"]),
+             values.choice(["t", "", None, "x y"]), values.choice(["en", None]), "s", values.choice(["doc", "page"])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "id string, chunk string, title string, language string, section string, kind string")
+    wanted = Counter()
+    for name, chunk, title, *rest in rows:
+        for field, found in (("chunk", plain_words(chunk)), ("title", plain_words(title)), ("id", [] if name is None else [name])):
+            for word in found:
+                wanted[name, *rest, field, len(found), word] += 1
+    made = I.postings(df)
+    assert made.columns == ["id", "language", "section", "kind", "field", "dl", "term", "tf"]
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    found = [tuple(r) for r in made.collect()]
+    assert sorted(map(str, found)) == sorted(str((*k, n)) for k, n in wanted.items())
+    ordered = df.orderBy(*I.POSTING_KEYS).select(*I.POSTING_KEYS, X.words("chunk").alias("_chunk"), X.words("title").alias("_title"),
+                                                 F.when(F.col("id").isNotNull(), F.array("id")).alias("_id")).toArrow()
+    here = [tuple(r.values()) for b in I._counted(iter(ordered.to_batches())) for r in b.to_pylist()]
+    assert sorted(map(str, here)) == sorted(str((*k, n)) for k, n in wanted.items())
+    assert I.postings(df.limit(0)).collect() == []
