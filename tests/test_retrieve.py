@@ -10,6 +10,7 @@ from siteloom import scale
 from siteloom.operators import neighbours as V
 from siteloom.operators import retrieve as R
 from siteloom.operators import shape as S
+from siteloom.operators.index import SearchIndex
 
 
 @pytest.fixture(scope="module")
@@ -191,3 +192,27 @@ def test_probes_follow_measured_recall_on_the_given_vectors(spark, tmp_path):
         found = {(r.qid, r.id) for r in V.knn_approx(asked, placed, centres, p, 10).collect()}
         assert measured[p - 1] == pytest.approx(len(exact & found) / len(exact))
     assert measured[probes - 2] < 0.9 <= measured[probes - 1] and measured[-1] == 1.0
+
+
+def test_matrix_scores_equal_the_join(spark, monkeypatch):
+    """Filters, repeated query ids, repeated chunk ids, a weight below zero, and facet columns."""
+    values = random.Random(21)
+    posted = [(f"c{values.randint(0, 60)}", values.choice(["en", "fr", None]), "s", "doc", values.choice(["chunk", "title"]),
+               values.randint(1, 9), f"t{values.randint(0, 20)}", values.randint(1, 3)) for _ in range(900)]
+    rows = spark.createDataFrame(posted, "id string, language string, section string, kind string, field string, dl int, term string, tf int")
+    told = [(values.randint(1, 12), values.choice(["chunk", "title"]), f"t{values.randint(0, 25)}", 4.5, 1.0, values.choice([-0.5, 0.25, 1.5]),
+             values.choice([None, "en", "fr", "es"]), values.choice([None, "s"]), None) for _ in range(80)]
+    weights = spark.createDataFrame(told, "qid long, field string, term string, avgdl double, idf double, weight double, _language string, _section string, _kind string")
+    index = SearchIndex(rows, rows, rows, rows)
+    for given in (weights, weights.filter("weight > 0"), weights.limit(0)):
+        for facets in (False, True):
+            found = R.bm25_scores(None, index, given, facets)
+            monkeypatch.setattr(R, "MATRIX_CELLS", -1)
+            joined = R.bm25_scores(None, index, given, facets)
+            monkeypatch.undo()
+            keys = [c for c in joined.columns if c != "score"]
+            one, two = ({tuple(r[c] for c in keys): r.score for r in df.collect()} for df in (found, joined))
+            assert found.columns == joined.columns and set(one) == set(two) and (one or not given.count())
+            assert all(one[k] == pytest.approx(two[k], abs=2e-6) for k in one)
+    # A posting is no longer multiplied by the queries that hold its term.
+    assert "collect_list" in R.bm25_scores(None, index, weights)._jdf.queryExecution().optimizedPlan().toString()
