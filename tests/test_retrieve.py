@@ -216,3 +216,16 @@ def test_matrix_scores_equal_the_join(spark, monkeypatch):
             assert all(one[k] == pytest.approx(two[k], abs=2e-6) for k in one)
     # A posting is no longer multiplied by the queries that hold its term.
     assert "collect_list" in R.bm25_scores(None, index, weights)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_queries_are_searched_block_by_block(spark, vectors, asked, monkeypatch):
+    """The number of block pairs grows with queries and rows, and so do the partitions."""
+    monkeypatch.setattr(V, "SENT_QUERIES", 10)
+    monkeypatch.setattr(V, "BLOCK_VECTORS", 7)
+    seen = []
+    blocks = V._knn_blocks
+    monkeypatch.setattr(V, "_knn_blocks", lambda *args: seen.append(blocks(*args)) or seen[-1])
+    found = V.knn(asked, vectors, 10)
+    assert {(r.qid, r.id, r.rank) for r in found.collect()} == nearest(vectors, asked, 10)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and f", {4 * 3 * 65})" in plan
