@@ -24,6 +24,7 @@ ASSET_SCHEMA = T.StructType([T.StructField("asset_url", T.StringType()),
 STORED_SCHEMA = T.StructType([*[T.StructField(n, T.StringType()) for n in ("base_name", "url", "content_hash")],
                               T.StructField("batch", T.LongType())])
 MARK = "batch"
+PIECES = 32
 
 
 def run_available(stream: DataFrame, checkpoint: str,
@@ -105,7 +106,9 @@ def stream_index_refresh(sources: DataFrame, table: VersionedTable, checkpoint:
         gone = changed.filter(F.coalesce("content", F.lit("")) == "").select("parent_id", "content_hash")
         marked = rows.unionByName(gone.withColumn("ord", F.lit(0)), allowMissingColumns=True)
         return marked.select(*CHUNKS.fieldNames())
-    return run_available(sources, checkpoint, into(table, rebuilt, spread=(F.floor(F.col("ord") / 512),)))
+    # A bucket's rows are dealt over PIECES tasks and more; adaptive execution joins small ones.
+    pieces = (F.pmod(F.hash("parent_id"), F.lit(PIECES)), F.floor(F.col("ord") / 512))
+    return run_available(sources, checkpoint, into(table, rebuilt, spread=pieces))
 
 
 def read_index(table: VersionedTable) -> DataFrame:

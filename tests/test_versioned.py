@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import registry
 from siteloom.scale import scratch_path
 from siteloom.sources import landed as L
 from siteloom.sources import sinks, versioned
@@ -164,3 +165,21 @@ def test_spark_state_forgets_after_the_delay(spark):
     found = seen(spark.read.parquet(out).select("asset_url"))
     assert found == [("a",), ("a",), ("b",), ("c",), ("d",)]
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_tasks_of_a_refresh_follow_the_partitions(spark, monkeypatch, tmp_path):
+    """A stream's files and the pieces of a bucket are not a fixed few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(registry, "scratch_path", lambda *_: str(tmp_path / "files"))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        registry._stream(spark, spark.range(200))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(list((tmp_path / "files").glob("*.parquet"))) == 9
+    told = {}
+    monkeypatch.setattr(streams, "into", lambda *_, **more: told.update(more))
+    monkeypatch.setattr(streams, "run_available", lambda *_: None)
+    streams.stream_index_refresh(None, None, "")
+    parents = spark.range(500).select(F.concat(F.lit("doc-"), "id").alias("parent_id"), F.lit(0).alias("ord"))
+    assert parents.select(*told["spread"]).distinct().count() == streams.PIECES
