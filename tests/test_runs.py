@@ -204,6 +204,15 @@ def test_index_reads_back_from_any_session(spark, small_index):
     assert again.postings.count() == index.postings.count() > 0
 
 
+def test_postings_are_stored_as_lists(spark, small_index):
+    """A row per chunk and field, not per term; the frequencies of terms are those of the postings."""
+    from siteloom.operators import index as I
+    index = small_index[1]
+    assert index.lists.count() == index.postings.select("id", "field").distinct().count() < index.postings.count()
+    assert sorted(map(tuple, index.term_df.collect())) == sorted(map(tuple, I.term_df(index.postings).collect()))
+    assert sorted(map(tuple, I.postings(index.chunks).collect())) == sorted(map(tuple, index.postings.collect()))
+
+
 def test_scoring_a_stored_index_needs_no_exchange(spark, small_index):
     from siteloom.operators import retrieve as R
     asked = spark.createDataFrame([(1, "cats dogs", None, None, None, 20, 0)], QUERIES)
