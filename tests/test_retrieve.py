@@ -229,3 +229,61 @@ def test_many_queries_are_searched_block_by_block(spark, vectors, asked, monkeyp
     assert {(r.qid, r.id, r.rank) for r in found.collect()} == nearest(vectors, asked, 10)
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and f", {4 * 3 * 65})" in plan
+
+
+def random_index(spark, rows=900, chunks=60):
+    """Postings, repeated keys among them, and the same as lists: one list is a few postings of a key, field and length."""
+    values = random.Random(31)
+    posted = {}
+    for _ in range(rows):
+        key = (f"c{values.randint(0, chunks):02d}", values.choice(["en", "fr", None]), f"s{values.randint(0, 3)}", "doc", values.choice(["chunk", "title"]), values.randint(1, 3))
+        posted[*key, f"t{values.randint(0, 20)}"] = values.randint(1, 2)
+    flat = spark.createDataFrame([(*k, n) for k, n in posted.items()], "id string, language string, section string, kind string, field string, dl int, term string, tf int")
+    keys = ["id", "language", "section", "kind", "field", "dl"]
+    lists = flat.groupBy(*keys).agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    told = [(q, values.choice(["chunk", "title"]), f"t{values.randint(0, 25)}", 4.5, 1.0, values.choice([0.25, 1.5]),
+             values.choice([None, "en"]) if q % 2 else None, None, None) for q in range(1, 9) for _ in range(6)]
+    weights = spark.createDataFrame(told, "qid long, field string, term string, avgdl double, idf double, weight double, _language string, _section string, _kind string")
+    return flat, lists, weights
+
+
+def test_lists_give_the_scores_of_their_postings(spark):
+    flat, lists, weights = random_index(spark)
+    for facets in (False, True):
+        one, two = (sorted(map(str, R.bm25_scores(None, SearchIndex(flat, flat, flat, flat, lists=own), weights, facets).collect())) for own in (None, lists))
+        assert one == two and one
+
+
+def test_ranks_and_facets_come_from_one_pass(spark):
+    """Ranks of the head and of neighbours however deep, ties and chunks without a match among them, and counts of all matches."""
+    flat, lists, weights = random_index(spark)
+    single = flat.dropDuplicates(["id", "field", "term"]).withColumns({"language": F.lit("en"), "dl": F.lit(2), "tf": F.lit(1)})
+    near = spark.createDataFrame([(q, f"c{i:02d}", n) for q in range(1, 12) for n, i in enumerate(range(q, 75, 4), 1)], "qid long, id string, rank int")
+    one_list = single.groupBy("id", "language", "section", "kind", "field", "dl").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    for own in (None, one_list):
+        index = SearchIndex(single, single, single, single, lists=own)
+        scores = R.bm25_scores(None, index, weights)
+        assert scores.groupBy("qid", "score").count().filter("count > 3").count() > 0
+        wanted = sorted(map(tuple, R.text_ranks(scores, near, 5).select("qid", "id", "text_rank").collect()))
+        found, none = R.text_leg(None, index, weights, near, 5)
+        assert sorted(map(tuple, found.select("qid", "id", "text_rank").collect())) == wanted and none is None
+    index = SearchIndex(flat, flat, flat, flat, lists=lists)
+    _, counts = R.text_leg(None, index, weights, near, 5, facets=True)
+    matches = R.bm25_scores(None, index, weights, facets=True)
+    plain = {tuple(r) for r in matches.groupBy("qid", "language", "section", "kind").count().collect()}
+    assert {tuple(r) for r in counts.groupBy("qid", "language", "section", "kind").agg(F.sum("n")).collect()} == plain
+
+
+def test_best_chunks_and_counts_do_not_need_all_scores(spark):
+    flat, lists, weights = random_index(spark)
+    index = SearchIndex(flat, flat, flat, flat, lists=lists)
+    sent = R._sent(weights)
+    everything = R.bm25_scores(None, index, weights)
+    wanted = scale.top_k(everything, ["qid"], R.ranked_by(), 4)
+    summed = R._summed(lists.coalesce(1), sent, 4)
+    assert sorted(map(str, R._best_rows(summed, 4).collect())) == sorted(map(str, wanted.select("qid", "id", "score", "rank").collect()))
+    assert "MapInArrow" in R._best_rows(summed, 4)._jdf.queryExecution().executedPlan().toString()
+    ties = everything.groupBy("qid", "score").count().agg(F.max("count")).first()[0]
+    assert summed.count() <= 8 * (4 + ties) < everything.count()
+    facets = R._facet_rows(R._summed(lists, sent, 0, facets=True)).agg(F.sum("n")).first()[0]
+    assert facets == R.bm25_scores(None, index, weights, facets=True).count()
