@@ -231,6 +231,44 @@ def test_many_queries_are_searched_block_by_block(spark, vectors, asked, monkeyp
     assert "REPARTITION_BY_NUM" in plan and f", {4 * 3 * 65})" in plan
 
 
+@pytest.mark.parametrize("first, dense, wait", [(256, 16, 10), (4, 10 ** 9, 1), (4, 0, 10)])
+def test_blocks_equal_brute_force(spark, monkeypatch, first, dense, wait):
+    """Pairs of vectors are not scored one query at a time: packs of rows meet as matrices. Copies, repeated and missing
+    ids, filters, cells, lists that are not full, and vectors that are not numbers are among them."""
+    monkeypatch.setattr(V, "SENT_QUERIES", 10)
+    monkeypatch.setattr(V, "BLOCK_VECTORS", 70)
+    for name, value in {"TILE": 32, "FIRST_ROWS": first, "DENSE": dense, "PAIRS": 5}.items():
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(f"v{i % 190}", [float(x) for x in rng.normal(size=6)], ["en", "fr", None][i % 3], i % 4) for i in range(200)]
+    rows += [(f"w{i:03d}", rows[i % 2][1], "en", i % 2) for i in range(60)]
+    rows += [(None, rows[5][1], "fr", 1), ("zero", [0.0] * 6, "en", 0), ("none", None, "en", 0), ("lost", [float("nan")] * 6, "en", 1), ("few", rows[6][1], "es", 3)]
+    stored = spark.createDataFrame(rows, "id string, vector array<float>, language string, cell int").repartition(3)
+    told = [(2 ** 60 + i // 2 * 2, rows[i][1], [None, "en", "es"][i % 3], sorted({i % 4, i % 3})) for i in range(120)]
+    told += [(None, rows[7][1], None, [0, 1, 2, 3]), (5, [0.0] * 6, None, [0]), (6, None, None, [0])]
+    asked = spark.createDataFrame(told, "qid long, vector array<float>, language string, cells array<int>").repartition(2)
+    unit = {i: np.array(r[1], np.float32).astype(float) / np.linalg.norm(np.array(r[1], np.float32).astype(float))
+            for i, r in enumerate(rows) if r[1] and any(r[1]) and not np.isnan(r[1][0])}
+
+    def brute(with_cells, k):
+        found = {}
+        for qid, vector, language, cells in told:
+            if vector and any(vector):
+                v = np.array(vector, np.float32).astype(float)
+                for i, w in unit.items():
+                    name, _, lang, cell = rows[i]
+                    if language in (None, lang) and (not with_cells or cell in cells):
+                        found.setdefault(qid, []).append((-round(float(v @ w / np.linalg.norm(v)), 6), name or ""))
+        return {(qid, n, name, -score) for qid, own in found.items() for n, (score, name) in enumerate(sorted(own)[:k], 1)}
+    for with_cells, k in ((False, wait), (True, wait), (True, 300)):
+        found = V.knn(asked if with_cells else asked.drop("cells"), stored if with_cells else stored.drop("cell"), k)
+        assert {(r.qid, r.rank, r.id or "", r.score) for r in found.collect()} == brute(with_cells, k)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    ragged = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0] * 6)], "id string, vector array<float>").coalesce(1)
+    with pytest.raises(Exception, match="vectors of 2 and of 6 numbers"):
+        V.knn(asked.drop("cells", "language"), ragged, 3).collect()
+
+
 def random_index(spark, rows=900, chunks=60):
     """Postings, repeated keys among them, and the same as lists: one list is a few postings of a key, field and length."""
     values = random.Random(31)
