@@ -1,16 +1,19 @@
 """Ranking operators against brute force."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siteloom import scale
+from siteloom.operators import index as I
 from siteloom.operators import neighbours as V
 from siteloom.operators import retrieve as R
 from siteloom.operators import shape as S
 from siteloom.operators.index import SearchIndex
+from siteloom.sources.index_store import save_by_term, with_terms
 
 
 @pytest.fixture(scope="module")
@@ -263,6 +266,13 @@ def test_blocks_equal_brute_force(spark, monkeypatch, first, dense, wait):
     for with_cells, k in ((False, wait), (True, wait), (True, 300)):
         found = V.knn(asked if with_cells else asked.drop("cells"), stored if with_cells else stored.drop("cell"), k)
         assert {(r.qid, r.rank, r.id or "", r.score) for r in found.collect()} == brute(with_cells, k)
+        # Workers have the constants as they are; here they are set.
+        told_rows = stored.filter("vector is not null").toArrow()
+        told_asked = asked.filter("vector is not null").filter(F.exists("vector", lambda x: x != 0)).toArrow()
+        direct = V._best_pairs(told_asked if with_cells else told_asked.drop_columns("cells"), told_rows, k).to_pylist()
+        best = spark.createDataFrame([(r["qid"], r["id"], r["score"]) for r in direct], V._OUT)
+        ranked = scale.top_k(best, ["qid"], [F.desc("score"), F.asc("id")], k)
+        assert {(r.qid, r.rank, r.id or "", r.score) for r in ranked.collect()} == brute(with_cells, k)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
     ragged = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0] * 6)], "id string, vector array<float>").coalesce(1)
     with pytest.raises(Exception, match="vectors of 2 and of 6 numbers"):
@@ -325,3 +335,43 @@ def test_best_chunks_and_counts_do_not_need_all_scores(spark):
     assert summed.count() <= 8 * (4 + ties) < everything.count()
     facets = R._facet_rows(R._summed(lists, sent, 0, facets=True)).agg(F.sum("n")).first()[0]
     assert facets == R.bm25_scores(None, index, weights, facets=True).count()
+
+
+def by_block(spark, lists, shelves=8):
+    """An index by term of which each block is made here, with the constants of this process."""
+    own = lists.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("id", "language", "section", "kind", "field", "dl", "terms", "tfs")).alias("entries"))
+    rows = []
+    for number, entries in enumerate(I._blocks(own.select("entries").coalesce(1).toArrow()["entries"].combine_chunks())):
+        keys, told = I._block_lists(entries)
+        for shelf, table in [(I.KEYS_SHELF, keys), *I._shelved(told, shelves)]:
+            for batch in table.combine_chunks().to_batches():
+                rows += I._inverted_rows(number, shelf, batch).to_pylist()
+    return spark.createDataFrame([tuple(r.values()) for r in rows], f"{I.INVERTED_DDL}, shelf int").repartition(3)
+
+
+@pytest.mark.parametrize("entries", [None, 5, 32 * 1024])
+def test_lists_by_term_give_the_scores_of_their_postings(spark, monkeypatch, entries):
+    """What is stored by term is a row per term of a block, and these are scored as the postings are: repeated ids, filters, facets,
+    ranks of neighbours. A chunk may have more entries than a block."""
+    flat, lists, weights = random_index(spark)
+    plain = SearchIndex(flat, flat, flat, flat, lists=lists)
+    if entries:
+        monkeypatch.setattr(I, "BLOCK_ENTRIES", entries)
+        stored = by_block(spark, lists)
+        index = replace(plain, by_term=I.upright(stored), inverted=stored, shelves=8)
+    else:
+        path = scale.scratch_path(spark, "by-term")
+        save_by_term(flat, path, 8)
+        index = with_terms(plain, path)
+        own = index.inverted.filter("term is not null")
+        assert own.filter(own.shelf != I.shelf(8)).count() == 0 < own.select("field", "term").distinct().count() == own.count() < flat.count() / 10
+    assert sorted(map(str, index.by_term.select(*flat.columns).collect())) == sorted(map(str, flat.collect()))
+    for facets in (False, True):
+        found, wanted = (R.bm25_scores(None, i, weights, facets, most=1.0) for i in (index, plain))
+        assert found.columns == wanted.columns and "places" in found._jdf.queryExecution().optimizedPlan().toString()
+        one, two = ({tuple(r[c] for c in wanted.columns if c != "score"): r.score for r in df.collect()} for df in (found, wanted))
+        assert set(one) == set(two) and found.count() == len(one) > 0 and all(one[k] == pytest.approx(two[k], abs=2e-6) for k in one)
+    near = spark.createDataFrame([(q, f"c{i:02d}", n) for q in range(1, 12) for n, i in enumerate(range(q, 75, 4), 1)], "qid long, id string, rank int")
+    monkeypatch.setattr(R, "MOST_SHELVES", 1.0)
+    ranks = [R.text_leg(None, i, weights, near, 5)[0] for i in (index, plain)]
+    assert len({str(sorted(tuple(r) for r in df.select("qid", "id", "text_rank").collect())) for df in ranks}) == 1
